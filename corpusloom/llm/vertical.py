@@ -38,7 +38,7 @@ from corpusloom.session import ship
 BLOCK = 4096
 _STEP = 2  # rarity classes: half powers of two
 _CLASSES = 40
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000  # pairs looked at together
 
 _ENTRY = "frag int, block long, docs int, idx binary, runs binary, ids binary, sizes binary, prints binary"
 _HIST = "block long, docs int, hist binary, ids binary, sizes binary, prints binary"
@@ -136,16 +136,32 @@ class _Part:
         self.blocks, self.docs = blocks[order], docs[order]
         self.base = np.cumsum(self.docs) - self.docs
         self.total = int(self.docs.sum())
-        owner = [np.frombuffer(idx[i], np.uint16).astype(np.uint64) + np.uint64(b) for i, b in zip(order, self.base)]
-        held = [np.frombuffer(runs[i], np.uint32).astype(np.uint64) for i in order]
-        self.key = (np.concatenate(held) << np.uint64(32)) | np.concatenate(owner) if held else np.zeros(0, np.uint64)
+        self.key = np.empty(sum(len(x) for x in runs) // 4, np.uint64)
+        at = 0
+        for i, base in zip(order, self.base, strict=True):
+            held = np.frombuffer(runs[i], np.uint32)
+            own = self.key[at : at + len(held)]
+            own[:] = held
+            own <<= np.uint64(32)
+            own |= np.frombuffer(idx[i], np.uint16).astype(np.uint64) + np.uint64(base)
+            at += len(held)
 
     def by_run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, begin, length): owners sorted by run, and where each run's group begins and how long it is."""
         self.key.sort()
-        run = self.key >> np.uint64(32)
+        run = (self.key >> np.uint64(32)).astype(np.uint32)
         begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.zeros(0, np.int64)
-        return (self.key & np.uint64(0xFFFFFFFF)).astype(np.int64), begin, np.diff(np.append(begin, len(run)))
+        return self.key.astype(np.uint32).astype(np.int32), begin, np.diff(np.append(begin, len(run)))
+
+    def classes_of(self, owner: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """How many entries of each class every text has; texts in slices, to keep the counts small."""
+        out = np.empty((self.total, _CLASSES), np.uint32)
+        for at in range(0, self.total, 25_000):
+            to = min(at + 25_000, self.total)
+            some = (owner >= at) & (owner < to)
+            key = (owner[some] - at) * _CLASSES + cls[some]
+            out[at:to] = np.bincount(key, minlength=(to - at) * _CLASSES).reshape(to - at, _CLASSES)
+        return out
 
     def number(self, docs: np.ndarray) -> np.ndarray:
         """Global text numbers (block << 16 | place) to places here."""
@@ -195,8 +211,7 @@ def _pass_a(cross: bool):
             part = _Part(*_rows(mine))
             owner, begin, length = part.by_run()
             cls = _classes(owner, begin, length, _side(part) if cross else None)
-            hist = np.bincount(owner * _CLASSES + cls, minlength=part.total * _CLASSES)
-            hist = np.minimum(hist, 65535).astype(np.uint16).reshape(part.total, _CLASSES)
+            hist = part.classes_of(owner, cls)
             place = {b: i for i, b in enumerate(mine.column("block").to_pylist())}
             for block, base, docs in zip(part.blocks.tolist(), part.base, part.docs, strict=True):
                 row = {"block": [block], "docs": [int(docs)], "hist": [hist[base : base + docs].tobytes()]}
@@ -220,7 +235,7 @@ def _make_cuts(threshold: float):
         hist = np.zeros((docs, _CLASSES), np.int64)
         extra = {}
         for row in table.to_pylist():
-            hist += np.frombuffer(row["hist"], np.uint16).reshape(docs, _CLASSES)
+            hist += np.frombuffer(row["hist"], np.uint32).reshape(docs, _CLASSES)
             if row["ids"] is not None:
                 extra = {k: row[k] for k in ("ids", "sizes", "prints")}
         n = hist.sum(1)
@@ -261,8 +276,8 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
     """Exact overlaps of the parts of texts a and b. held: (text << 32 | run), sorted; ends: by text."""
     shared = np.zeros(len(a), np.int64)
     size = np.diff(ends)
-    for at in range(0, len(a), 200_000):
-        x, y = a[at : at + 200_000], b[at : at + 200_000]
+    for at in range(0, len(a), 50_000):
+        x, y = a[at : at + 50_000], b[at : at + 50_000]
         swap = size[x] > size[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         count = size[x]
@@ -274,12 +289,13 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
         want = (held[take] & np.uint64(0xFFFFFFFF)) | (y[pair].astype(np.uint64) << np.uint64(32))
         found = np.searchsorted(held, want)
         hit = held[np.minimum(found, len(held) - 1)] == want
-        shared[at : at + 200_000] = np.bincount(pair[hit], minlength=len(x))
+        shared[at : at + 50_000] = np.bincount(pair[hit], minlength=len(x))
     return shared
 
 
 def _by_text(part: _Part) -> tuple[np.ndarray, np.ndarray]:
-    held = (part.key << np.uint64(32)) | (part.key >> np.uint64(32))
+    held = part.key << np.uint64(32)
+    held |= part.key >> np.uint64(32)
     held.sort()
     ends = np.searchsorted(held, np.arange(part.total + 1, dtype=np.uint64) << np.uint64(32))
     return held, ends
@@ -294,35 +310,37 @@ def _pass_b(cross: bool, threshold: float):
             return _PAIR_SCHEMA.empty_table()
         part = _Part(*_rows(entries))
         side = _side(part) if cross else None
-        cut = np.full(part.total, 255, np.int64)
+        cut = np.full(part.total, 255, np.uint8)
         for block, own in zip(cuts.column("block").to_pylist(), cuts.column("cuts").to_pylist(), strict=True):
             base = part.base[np.searchsorted(part.blocks, block)]
             cut[base : base + len(own)] = np.frombuffer(own, np.uint8)
         owner, begin, length = part.by_run()
         cls = _classes(owner, begin, length, side)
-        hist = np.bincount(owner * _CLASSES + cls, minlength=part.total * _CLASSES).reshape(part.total, _CLASSES)
-        upto = np.minimum(hist.cumsum(1), 65535).astype(np.uint16)
+        upto = part.classes_of(owner, cls)
+        np.cumsum(upto, axis=1, out=upto)
         size = upto[:, -1].astype(np.int64)
         # entries inside prefixes; 255 marks texts that take no part (copies of another text)
-        run_no = np.repeat(np.arange(len(length)), length)
+        run_no = np.repeat(np.arange(len(length), dtype=np.int32), length)
         keep = (cls > 0) & (cls <= cut[owner]) & (cut[owner] < 255)
         owner, run_no = owner[keep], run_no[keep]
         if side is not None:  # within a run first the left side, then the right
             order = np.lexsort((side[owner], run_no))
             owner, run_no = owner[order], run_no[order]
-        last = np.searchsorted(run_no, run_no, side="right")
+        del keep, cls, begin, length
+        last = np.searchsorted(run_no, run_no, side="right").astype(np.int32)
         if side is None:
-            first = np.arange(len(owner)) + 1
+            first = np.arange(len(owner), dtype=np.int32) + np.int32(1)
         else:
             key = run_no * 2 + side[owner]
-            first = np.searchsorted(key, run_no * 2 + 1)
+            first = np.searchsorted(key, run_no * 2 + 1).astype(np.int32)
             last = np.where(side[owner], first, last)
             first = np.where(side[owner], last, first)
         count = last - first
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner, kind="stable").astype(np.int32)
         order = order[count[order] > 0]
         owner_o, first_o, count_o = owner[order], first[order], count[order]
-        steps = np.cumsum(count_o)
+        del last, first, count, run_no
+        steps = np.cumsum(count_o, dtype=np.int64)
         held, ends = _by_text(part)
         out, at = [], 0
         while at < len(order):
@@ -331,7 +349,8 @@ def _pass_b(cross: bool, threshold: float):
             while to < len(order) and owner_o[to] == owner_o[to - 1]:  # a text's partners are counted together
                 to += 1
             c = count_o[at:to]
-            right = owner[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first_o[at:to], c)]
+            right = np.repeat(first_o[at:to] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            right = owner[right]
             key = (np.repeat(owner_o[at:to], c).astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
             key.sort()
             fresh = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
