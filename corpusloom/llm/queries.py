@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import lookalikes, neardup
+from corpusloom.llm import leaks, lookalikes, neardup, overlap, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,5 +36,33 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.skeleton_groups(_table(spark, folder, "train"))
 
 
+def _held_out(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: _table(spark, folder, name) for name in ("validation", "test")}
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_split_overlaps(_table(spark, folder, "train"), _held_out(spark, folder))
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_report(p3_found(spark, folder), _held_out(spark, folder))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), _table(spark, folder, "containers"))
+
+
+def p7_filling(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.filling_report(p7_packed(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(p8_found(spark, folder), _table(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name[0] == "p" and name[1:2].isdigit()}
