@@ -69,30 +69,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def batch_words(texts: Sequence[str | None], plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, owner, start) of every word of every text; start is the place in the joined plain forms."""
-    ready = list(texts) if plain else plain_batch(texts)
-    if not ready:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes, starts = _codes(ready)
-    word, value = tables()[1], _values()
-    inside = word[codes]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.concatenate(([0], edge))
-    begin, end = edge[0::2], edge[1::2]  # the last code point is a line break, so runs are closed
-    if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = 1 << max(16, int(len(codes)).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(np.where(inside, value[codes], np.uint64(0)) * up[: len(codes)], out=total[1:])
-    hashed = (total[end] - total[begin]) * down[begin]
-    hashed ^= hashed >> np.uint64(32)
-    hashed *= _MIX
-    hashed ^= hashed >> np.uint64(29)
-    owner = np.searchsorted(starts, begin, side="right") - 1
-    return hashed, owner, begin
+class Layout:
+    """Where the words of a batch of plain texts are, and their hashes."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.codes, self.starts = _codes(texts) if len(texts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        empty = np.zeros(0, np.int64)
+        self.begin = self.end = self.owner = empty
+        self.hashed = empty.astype(np.uint64)
+        inside = tables()[1][self.codes]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(inside) else empty
+        if len(inside) and inside[0]:
+            edge = np.concatenate(([0], edge))
+        if not len(edge):
+            return
+        self.begin, self.end = edge[0::2], edge[1::2]  # the last code point is a line break, so runs are closed
+        n = len(self.codes)
+        up, down = _powers(1 << max(16, n.bit_length()))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.where(inside, _values()[self.codes], np.uint64(0)) * up[:n], out=total[1:])
+        hashed = (total[self.end] - total[self.begin]) * down[self.begin]
+        hashed ^= hashed >> np.uint64(32)
+        hashed *= _MIX
+        hashed ^= hashed >> np.uint64(29)
+        self.hashed = hashed
+        self.owner = np.searchsorted(self.starts, self.begin, side="right") - 1
+
+
+def batch_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner) of every word of every text, in order."""
+    layout = Layout(plain_batch(texts))
+    return layout.hashed, layout.owner
 
 
 def runs_of(hashed: np.ndarray, owner: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -127,5 +134,4 @@ def distinct(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def batch_runs(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owners): the distinct runs of every text, sorted by owner (the text's place) and hash."""
-    hashed, owner, _ = batch_words(texts)
-    return distinct(*runs_of(hashed, owner, size))
+    return distinct(*runs_of(*batch_words(texts), size))

@@ -163,6 +163,15 @@ class _Part:
             out[at:to] = np.bincount(key, minlength=(to - at) * _CLASSES).reshape(to - at, _CLASSES)
         return out
 
+    def by_text(self) -> tuple[np.ndarray, np.ndarray]:
+        """(held, ends): text << 32 | run, sorted, and where each text begins."""
+        high = self.key >> np.uint64(32)
+        self.key <<= np.uint64(32)
+        self.key |= high
+        del high
+        self.key.sort()
+        return self.key, np.searchsorted(self.key, np.arange(self.total + 1, dtype=np.uint64) << np.uint64(32))
+
     def number(self, docs: np.ndarray) -> np.ndarray:
         """Global text numbers (block << 16 | place) to places here."""
         return self.base[np.searchsorted(self.blocks, docs >> 16)] + (docs & 0xFFFF)
@@ -293,14 +302,6 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
     return shared
 
 
-def _by_text(part: _Part) -> tuple[np.ndarray, np.ndarray]:
-    held = part.key << np.uint64(32)
-    held |= part.key >> np.uint64(32)
-    held.sort()
-    ends = np.searchsorted(held, np.arange(part.total + 1, dtype=np.uint64) << np.uint64(32))
-    return held, ends
-
-
 def _pass_b(cross: bool, threshold: float):
     """Pairs whose parts in this fragment are alike enough. Left: entries; right: cuts of every block."""
     need = threshold / (1 + threshold)
@@ -316,6 +317,7 @@ def _pass_b(cross: bool, threshold: float):
             cut[base : base + len(own)] = np.frombuffer(own, np.uint8)
         owner, begin, length = part.by_run()
         cls = _classes(owner, begin, length, side)
+        del begin
         upto = part.classes_of(owner, cls)
         np.cumsum(upto, axis=1, out=upto)
         size = upto[:, -1].astype(np.int64)
@@ -326,7 +328,7 @@ def _pass_b(cross: bool, threshold: float):
         if side is not None:  # within a run first the left side, then the right
             order = np.lexsort((side[owner], run_no))
             owner, run_no = owner[order], run_no[order]
-        del keep, cls, begin, length
+        del keep, cls, length
         last = np.searchsorted(run_no, run_no, side="right").astype(np.int32)
         if side is None:
             first = np.arange(len(owner), dtype=np.int32) + np.int32(1)
@@ -341,17 +343,15 @@ def _pass_b(cross: bool, threshold: float):
         owner_o, first_o, count_o = owner[order], first[order], count[order]
         del last, first, count, run_no
         steps = np.cumsum(count_o, dtype=np.int64)
-        held, ends = _by_text(part)
-        out, at = [], 0
-        while at < len(order):
+        likely, at = [], 0
+        while at < len(owner_o):
             to = int(np.searchsorted(steps, (steps[at - 1] if at else 0) + _CHUNK, side="right"))
             to = max(to, at + 1)
-            while to < len(order) and owner_o[to] == owner_o[to - 1]:  # a text's partners are counted together
+            while to < len(owner_o) and owner_o[to] == owner_o[to - 1]:  # a text's partners are counted together
                 to += 1
             c = count_o[at:to]
             right = np.repeat(first_o[at:to] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            right = owner[right]
-            key = (np.repeat(owner_o[at:to], c).astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+            key = (np.repeat(owner_o[at:to], c).astype(np.uint64) << np.uint64(32)) | owner[right].astype(np.uint64)
             key.sort()
             fresh = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             shared = np.diff(np.append(fresh, len(key)))
@@ -359,15 +359,16 @@ def _pass_b(cross: bool, threshold: float):
             a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             least = np.minimum(cut[a], cut[b])
             tail = np.minimum(size[a] - upto[a, least], size[b] - upto[b, least])
-            want = need * (size[a] + size[b]) - 1e-9
-            ok = shared + tail >= want
-            a, b, want = a[ok], b[ok], want[ok]
-            ok = _overlaps(held, ends, a, b) >= want
-            out.append((part.named(a[ok]), part.named(b[ok])))
+            likely.append(key[shared + tail >= need * (size[a] + size[b]) - 1e-9])
             at = to
-        if not out:
+        if not likely:
             return _PAIR_SCHEMA.empty_table()
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=_PAIR_SCHEMA)
+        del owner, order, owner_o, first_o, count_o, steps, upto, cut
+        key = np.concatenate(likely)
+        a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        ok = _overlaps(*part.by_text(), a, b) >= need * (size[a] + size[b]) - 1e-9
+        pairs = (part.named(a[ok]), part.named(b[ok]))
+        return pa.Table.from_arrays([pa.array(x) for x in pairs], schema=_PAIR_SCHEMA)
 
     return run
 
@@ -377,7 +378,7 @@ def _pass_c(entries: pa.Table, pairs: pa.Table) -> pa.Table:
     if not entries.num_rows or not pairs.num_rows:
         return _PART_SCHEMA.empty_table()
     part = _Part(*_rows(entries))
-    held, ends = _by_text(part)
+    held, ends = part.by_text()
     a, b = (pairs.column(k).to_numpy() for k in ("a", "b"))
     shared = _overlaps(held, ends, part.number(a), part.number(b))
     some = shared > 0
@@ -395,7 +396,7 @@ def _without(block: pa.Table) -> pa.Table:
 _CUT_SCHEMA = pa.schema([("block", pa.int64()), ("cuts", pa.binary())])
 
 
-def similar_texts(texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int = 12) -> tuple[DataFrame, DataFrame]:
+def similar_texts(texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int = 16) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts of at least ``threshold`` likeness.
 
     texts: id BIGINT, kind INT, text STRING. kind is side + 2 * field: texts of different fields are never
