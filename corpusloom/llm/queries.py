@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import leaks, lookalikes, neardup, overlap, packing
+from corpusloom.llm import leaks, levels, lookalikes, neardup, overlap, packing, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,10 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.skeleton_groups(_table(spark, folder, "train"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(_table(spark, folder, "train"))
+
+
 def _held_out(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: _table(spark, folder, name) for name in ("validation", "test")}
 
@@ -64,5 +69,23 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(p8_found(spark, folder), _table(spark, folder, "eval_items"))
 
 
+def _levels(spark: SparkSession, folder: str) -> DataFrame:
+    tables = (_table(spark, folder, name) for name in ("documents", "level_samples", "eval_items"))
+    return levels.reading_levels(*tables)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    graded = _levels(spark, folder).join(_table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    return graded.groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.avg("grade").alias("mean_grade"))
+
+
+def p9_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    return levels.level_accuracy(_table(spark, folder, "level_samples"))
+
+
 def queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name[0] == "p" and name[1:2].isdigit()}
