@@ -7,6 +7,7 @@ only, so equal runs hash alike in every task and session. Texts are read whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -16,6 +17,8 @@ from corpusloom.llm.plain import _TOP, WORD, plain_form, tables
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_LOW = np.uint64(0xFFFF)
+PORTION = 400_000  # code points looked at together
 
 
 def words(text: str | None) -> list[str]:
@@ -121,17 +124,37 @@ def runs_of(hashed: np.ndarray, owner: np.ndarray, size: int = 5) -> tuple[np.nd
 
 
 def distinct(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (hash, owner), sorted by owner and hash."""
-    if not len(runs):
-        return runs, owner
-    order = np.argsort(runs, kind="stable")
-    order = order[np.argsort(owner[order], kind="stable")]
-    runs, owner = runs[order], owner[order]
-    fresh = np.ones(len(runs), bool)
-    fresh[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
-    return runs[fresh], owner[fresh]
+    """Distinct (hash, owner), sorted by hash, for owners under 2**16; a hash keeps its upper 48 bits."""
+    key = runs & ~_LOW
+    key |= owner.astype(np.uint64)
+    key.sort()
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return key & ~_LOW, (key & _LOW).astype(np.int64)
 
 
 def batch_runs(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, owners): the distinct runs of every text, sorted by owner (the text's place) and hash."""
-    return distinct(*runs_of(*batch_words(texts), size))
+    """(hashes, owners): the distinct runs of every text; the owner is the text's place. Low 16 bits are 0."""
+    ready = plain_batch(texts)
+    ends = np.cumsum(np.fromiter(map(len, ready), np.int64, len(ready)))
+    found, at = [], 0
+    while at < len(ready):  # some texts at a time, to keep the arrays small
+        to = min(at + 50_000, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, side="right"))))
+        layout = Layout(ready[at:to])
+        runs, owner = distinct(*runs_of(layout.hashed, layout.owner, size))
+        found.append((runs, owner + at))
+        at = to
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([r for r, _ in found]), np.concatenate([o for _, o in found])
+
+
+def tidy() -> None:
+    """Give free memory back to the system, so that a worker that is used again does not hold two stages' worth."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

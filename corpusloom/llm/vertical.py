@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shingles import batch_runs
+from corpusloom.llm.shingles import batch_runs, tidy
 from corpusloom.session import ship
 
 BLOCK = 4096
 _STEP = 2  # rarity classes: half powers of two
 _CLASSES = 40
-_CHUNK = 1_000_000  # pairs looked at together
+_CHUNK = 500_000  # pairs looked at together
 
 _ENTRY = "frag int, block long, docs int, idx binary, runs binary, ids binary, sizes binary, prints binary"
 _HIST = "block long, docs int, hist binary, ids binary, sizes binary, prints binary"
@@ -90,19 +90,22 @@ def _entries(keys: list[int]):
                     block = (((part << 20) + number) << 2) + kind
                     number += 1
                     yield pack(piece, block, kind)
+            tidy()
 
     def pack(piece: pa.RecordBatch, block: int, kind: int) -> pa.RecordBatch:
         runs, owner = batch_runs(piece.column(2).to_pylist())
         runs = runs ^ np.uint64((kind >> 1) * 0x9E3779B97F4A7C15)
         n = np.bincount(owner, minlength=piece.num_rows).astype(np.uint32)
+        owner = owner.astype(np.uint16)
         prints = np.zeros(piece.num_rows, np.uint64)
         if len(runs):
-            some, begin = np.unique(owner, return_index=True)
-            prints[some] = np.add.reduceat(runs * np.uint64(0xD6E8FEB86659FD93), begin)
-        place = ((runs >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            some = np.flatnonzero(n)
+            prints[some] = np.add.reduceat((runs * np.uint64(0xD6E8FEB86659FD93))[order], np.cumsum(n, dtype=np.int64)[some] - n[some])
+        place = ((runs >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.uint16)
         order = np.argsort(place, kind="stable")
         ends = np.searchsorted(place[order], np.arange(fragments + 1))
-        owner, low = owner.astype(np.uint16)[order], runs.astype(np.uint32)[order]
+        owner, low = owner[order], (runs[order] >> np.uint64(16)).astype(np.uint32)
         ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         none = [None] * (fragments - 1)
         return pa.RecordBatch.from_pydict(
@@ -156,8 +159,8 @@ class _Part:
     def classes_of(self, owner: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """How many entries of each class every text has; texts in slices, to keep the counts small."""
         out = np.empty((self.total, _CLASSES), np.uint32)
-        for at in range(0, self.total, 25_000):
-            to = min(at + 25_000, self.total)
+        for at in range(0, self.total, 50_000):
+            to = min(at + 50_000, self.total)
             some = (owner >= at) & (owner < to)
             key = (owner[some] - at) * _CLASSES + cls[some]
             out[at:to] = np.bincount(key, minlength=(to - at) * _CLASSES).reshape(to - at, _CLASSES)
@@ -226,6 +229,8 @@ def _pass_a(cross: bool):
                 row = {"block": [block], "docs": [int(docs)], "hist": [hist[base : base + docs].tobytes()]}
                 row |= {k: [mine.column(k)[place[block]].as_py()] for k in ("ids", "sizes", "prints")}
                 yield pa.RecordBatch.from_pydict(row, schema=_HIST_SCHEMA)
+            del part, owner, begin, length, cls, hist
+        tidy()
 
     return run
 
@@ -285,8 +290,8 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
     """Exact overlaps of the parts of texts a and b. held: (text << 32 | run), sorted; ends: by text."""
     shared = np.zeros(len(a), np.int64)
     size = np.diff(ends)
-    for at in range(0, len(a), 50_000):
-        x, y = a[at : at + 50_000], b[at : at + 50_000]
+    for at in range(0, len(a), 20_000):
+        x, y = a[at : at + 20_000], b[at : at + 20_000]
         swap = size[x] > size[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         count = size[x]
@@ -298,7 +303,7 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
         want = (held[take] & np.uint64(0xFFFFFFFF)) | (y[pair].astype(np.uint64) << np.uint64(32))
         found = np.searchsorted(held, want)
         hit = held[np.minimum(found, len(held) - 1)] == want
-        shared[at : at + 50_000] = np.bincount(pair[hit], minlength=len(x))
+        shared[at : at + 20_000] = np.bincount(pair[hit], minlength=len(x))
     return shared
 
 
@@ -309,6 +314,7 @@ def _pass_b(cross: bool, threshold: float):
     def run(entries: pa.Table, cuts: pa.Table) -> pa.Table:
         if not entries.num_rows or not cuts.num_rows:
             return _PAIR_SCHEMA.empty_table()
+        tidy()
         part = _Part(*_rows(entries))
         side = _side(part) if cross else None
         cut = np.full(part.total, 255, np.uint8)
@@ -377,6 +383,7 @@ def _pass_c(entries: pa.Table, pairs: pa.Table) -> pa.Table:
     """Partial overlaps of the pairs in this fragment."""
     if not entries.num_rows or not pairs.num_rows:
         return _PART_SCHEMA.empty_table()
+    tidy()
     part = _Part(*_rows(entries))
     held, ends = part.by_text()
     a, b = (pairs.column(k).to_numpy() for k in ("a", "b"))
