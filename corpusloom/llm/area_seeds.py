@@ -1,0 +1,79 @@
+"""Seed phrases of the subject areas for weak labels, by area; a parameter of the operator, to be replaced at will.
+
+They stand in for address paths and section names, which the tables do not have: a sentence that holds seeds of
+one area alone is a weak example of that area, one that holds a seed of ``neutral`` alone an example of none.
+"""
+
+SEEDS: dict[str, list[str]] = {
+    "clinical_medicine": [
+        "nhập viện", "chẩn đoán viêm", "được chẩn đoán", "phẫu thuật", "ca mổ", "siêu âm", "chụp x-quang", "xét nghiệm cho thấy",
+        "hồi sức", "huyết áp dao động", "hội chẩn", "đặt ống thở", "ngày điều trị", "tiền sử của", "bác sĩ cảnh báo", "ê-kíp",
+        "surgeon", "stitches", "a scan showed", "blood tests", "ward round", "the ward at", "paramedics", "previous notes listed",
+        "was confirmed after", "eased and", "mg, then moved to", "le scanner", "les analyses", "a prescrit", "avant d'opérer", "malades depuis",
+        "avait disparu", "入院", "确诊", "检查显示", "明显减轻", "剂量为", "中心医院为", "医院为", "诊所为", "研究所为",
+        "診断された", "検査では", "投与し", "軽くなった", "病院は", "診療所は", "医療センターは", "ผลตรวจ", "หลังรักษา", "ก่อนตรวจพบ", "มิลลิกรัมแล้วเปลี่ยน", "ประชุมเรื่อง",
+    ],
+    "disease_prevention": [
+        "tiêm nhắc sau", "rửa tay", "bỏ hút", "béo phì", "tiêm chủng", "ngừa", "để phòng", "ngành y tế khuyên", "tập thể dục", "khử khuẩn",
+        "tờ rơi", "lượt người", "uống đủ nước", "chế độ ăn", "không hút thuốc", "vắc xin phòng", "ba việc", "vượt kế hoạch", "nên hạn chế muối",
+        "vaccination", "vaccine", "wash hands", "prevention", "to prevent", "healthy", "exercise",
+        "以预防", "每天运动", "可以降低", "疫苗接种活动吸引", "洗手习惯吸引", "早餐计划吸引", "低盐饮食吸引", "的风险",
+        "予防", "ป้องกัน", "ควรกินผัก", "ออกแรงวันละ", "เข้าร่วม",
+    ],
+    "biomedical_research": [
+        "nhóm nghiên cứu", "thử nghiệm mù đôi", "giả dược", "mẫu máu", "cỡ mẫu", "nuôi cấy", "giải trình tự", "kính hiển vi", "gen liên quan",
+        "giả thuyết", "mô hình thống kê", "nhóm tác giả", "tạp chí trong nước", "đề tài của", "tình nguyện viên",
+        "blinded comparison", "placebo", "laboratory cultured", "sequencing of", "peer reviewers", "microscopy", "the authors", "gene tied",
+        "hazard of", "sampled", "基因", "实验室", "研究团队", "研究チーム", "遺伝子", "การทดลอง",
+    ],
+    "law_crime": [
+        "khởi tố", "bị can", "bị cáo", "truy tố", "luật sư", "tuyên phạt", "tòa", "công an", "cảnh sát", "khám xét", "nạn nhân", "chiếm đoạt",
+        "đường dây lừa đảo", "vụ án", "thu giữ", "cáo trạng", "hé lộ việc làm giả",
+        "jurors", "judge", "counsel for", "prosecutors", "the court heard", "the bench fined", "officers seized", "camera footage",
+        "detectives", "police", "la police", "le tribunal", "parquet", "les enquêteurs", "les preuves", "nouvel examen", "法院", "警方", "裁判", "警察", "ศาล", "ตำรวจ",
+    ],
+    "health_administration": [
+        "đấu thầu", "gói thầu", "nghị định", "công văn", "bổ nhiệm", "thanh tra", "viện phí", "ngân sách", "hội đồng nhân dân", "đề án sắp xếp",
+        "điều chuyển công tác", "thẩm định trong", "mức phí", "bảng giá dịch vụ", "quỹ bảo hiểm thanh toán", "giám đốc sở ký",
+        "tender", "appointed", "budget", "ministry", "decree", "reimbursement", "hospital fees",
+    ],
+    "veterinary": [
+        "thú y", "đàn lợn", "đàn vịt", "đàn gà", "con bê", "con mèo", "con heo", "mèo mắc", "chó con", "chim bồ câu", "cá cảnh", "chủ trại",
+        "vật nuôi", "con ngựa", "phân gà", "cho mèo", "ve rận", "veterinary", "livestock", "herd", "the vet",
+    ],
+    "gardening": [
+        "rễ lan", "chậu lan", "bón", "lá vàng", "rệp sáp", "giàn mướp", "hạt ngâm", "cây giống", "phân hữu cơ", "mắt hồng", "lớp mùn", "nhà vườn",
+        "vườn của", "cắt cành", "tỏi pha", "luống hoa", "ra hoa", "người trồng", "vườn nghiêm", "seedlings", "pruning", "compost", "garden",
+    ],
+    "beauty_lifestyle": [
+        "stylist", "son lì", "lớp lót", "trang điểm", "chủ salon", "thợ làm tóc", "áo dài", "người mẫu", "phấn mắt", "váy", "thời trang",
+        "gương mặt sáng", "tạo mẫu", "giày cao", "makeup", "lipstick", "hair salon", "catwalk",
+    ],
+    "sport": [
+        "hiệp hai", "tỉ số", "huy chương", "tiền đạo", "tay vợt", "vòng loại", "trận", "khán đài", "trọng tài", "huấn luyện viên", "vận động viên", "ván cờ",
+        "bóng lăn", "phút bù giờ", "kỷ lục", "lên hạng", "mỗi đội", "thắng",
+        "striker", "referee", "runner", "rowers", "the stands at", "coach", "in minute", "champions", "marathon", "thanks to a",
+        "選手は", "チームは", "観客", "審判", "試合", "决赛", "球队",
+    ],
+    "software_technology": [
+        "lập trình viên", "mã nguồn", "phần mềm đặt lịch", "bản vá", "máy chủ", "giao diện", "kỹ sư", "thuật toán", "mã độc", "bản cập nhật",
+        "kiểm thử", "bộ nhớ", "tài khoản không đăng nhập", "độ trễ", "cơ sở dữ liệu", "đội phát triển",
+        "engineer", "developers", "interface bugs", "the classifier", "memory leak", "an outage", "attackers", "the repository", "the update", "latency",
+        "服务器", "工程师", "密码", "无法登录", "安全补丁", "ソフト", "サーバー", "ซอฟต์แวร์",
+    ],
+    "community_charity": [
+        "suất cháo", "miễn phí người nghèo", "quà", "thiện nguyện", "quỹ học bổng", "gây quỹ", "học trò nghèo", "học trò mồ côi", "bật khóc",
+        "nhà tình nghĩa", "nhóm bạn trẻ", "lớp học trên bè", "chuyến xe nghĩa tình", "nghệ sĩ", "nghỉ hưu, gửi", "tặng", "dọn về nhà mới", "các em nhỏ làng",
+        "charity", "volunteered", "donated", "fundraiser",
+    ],
+    "neutral": [
+        "thông tin chi tiết đăng tại", "ý kiến... chưa được", "con số cuối cùng", "vì sao chuyện này", "đừng chủ quan", "hẹn trả lời",
+        "cuộc gặp diễn ra", "mọi liên hệ gửi về", "người phụ trách ở", "danh sách gồm", "từ góc nhìn", "diễn biến tại", "cần biết gì",
+        "chúng tôi chưa rõ", "cứ làm đúng", "mọi việc rất", "tôi đã chờ", "ai cũng mong", "xin mọi người",
+        "details are at", "the final count", "why did it take", "not everyone agrees", "the office opens", "the list covers", "the view from",
+        "should know", "please stay calm", "nobody warned", "that was during", "we waited", "it felt",
+        "pourquoi avoir", "restez calmes", "personne n'a", "nous avons attendu", "c'était pendant", "vu de", "doivent savoir", "les détails sont",
+        "为什么拖了", "请大家保持", "我们等了", "原因是", "现场", "须知", "なぜ", "落ち着いて", "日待った", "原因は", "知るべき", "の現場から",
+        "ของผู้ป่วยรอมา", "สาเหตุหลัก", "กล่าวว่า", "ควรรู้", "เหตุการณ์ที่",
+    ],
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leaks, levels, lookalikes, neardup, overlap, packing, sentences
+from corpusloom.llm import areas, leaks, levels, lookalikes, neardup, overlap, packing, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,19 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(_table(spark, folder, "train"), threshold=0.8).withColumnRenamed("id", "pair_id")
 
 
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    return areas.subject_areas(_table(spark, folder, "train"), _table(spark, folder, "subject_areas"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder).select("pair_id", "area_code")
+
+
+def p4_composition(spark: SparkSession, folder: str) -> DataFrame:
+    found = _areas(spark, folder).join(_table(spark, folder, "train").select("pair_id", "outlet"), "pair_id")
+    return found.groupBy("outlet", "area_code").agg(F.count("*").alias("records"), F.avg("share").alias("mean_share"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.unlike_fields(_table(spark, folder, "train"))
 

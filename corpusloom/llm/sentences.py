@@ -34,7 +34,7 @@ _BEFORE = frozenset(
 _WITHIN = frozenset("v.v v.v.v etc e.g i.e a.m p.m vv".split())
 _OPEN, _CLOSE = "“«「『‘", "”»」』’"
 _PAIRS = dict(zip(_CLOSE, _OPEN, strict=True))
-_MARK = re.compile(r"(?:[.!?…。！？｡]+(?![0-9a-zà-öø-ÿ/@]))(?:[\"”’»」』)\]）]|[   ]»)*")
+_MARK = re.compile(r"(?:[。！？｡]+|[.!?…]+(?![0-9a-zà-öø-ÿ/@]))(?:[\"”’»」』)\]）]|[   ]»)*")
 _THAI_SPACE = re.compile("(?<=[฀-๿])​* +​*(?=[฀-๿])")
 _QUOTES = re.compile('["“”«»「」『』]')
 _HIDDEN = re.compile("[​­͏]")
@@ -77,6 +77,8 @@ def _kind(char: str) -> str:
     code = ord(char)
     if 0xE00 <= code < 0xE80:
         return "thai"
+    if 0x3041 <= code < 0x3097:
+        return "kana"
     if 0x3040 <= code < 0xA000 and char.isalpha() or 0x20000 <= code < 0x32000:
         return "han"
     if char.isupper():
@@ -95,7 +97,7 @@ def _shape(token: str) -> str:
     if token[-1].isdigit():
         return "number"
     kind = _kind(token[-1])
-    if kind in ("thai", "han"):
+    if kind in ("thai", "han", "kana"):
         return kind
     if not any(c.isalpha() for c in token):
         return "sign"
@@ -163,7 +165,7 @@ def candidates(line: str) -> Iterator[tuple[int, int, tuple]]:
                 ahead = ahead if ahead in (":", ";") and word.isdigit() and len(word) < 3 else "word"
             else:
                 ahead = "word"
-        short = last.lower() if len(last) <= 4 and kind not in ("number", "han", "thai") else ""
+        short = last.lower() if len(last) <= 4 and kind not in ("number", "han", "kana", "thai") else ""
         yield end, to, (dots, kind, ahead, short, place, gap, nxt)
     if "฀" <= max(line) and any("฀" <= c < "຀" for c in line):
         for match in _THAI_SPACE.finditer(line):
@@ -194,9 +196,9 @@ def sure(features: tuple, at_end: bool) -> bool | None:
     if nxt in ("lower", "dash") or (nxt == "other" and place != "none"):
         return False
     if place == "first":
-        return False if nxt in ("han", "upper", "lower", "dash", "other") else None
+        return False if nxt in ("han", "kana", "upper", "lower", "dash", "other") else None
     if place == "after":
-        return nxt in ("upper", "upper2", "open", "digit", "thai") or (nxt == "han" and mark != "。") or None
+        return nxt in ("upper", "upper2", "open", "digit", "thai", "han") if nxt != "other" else None
     if kind == "before" and nxt in ("upper", "upper1", "upper2", "digit"):
         return False
     if kind == "initial":
@@ -205,7 +207,7 @@ def sure(features: tuple, at_end: bool) -> bool | None:
         return False
     if nxt == "upper1":
         return kind not in ("before", "initial") and not kind.startswith("caps")
-    if mark in "!?。！？｡" and nxt in ("upper", "upper2", "han", "digit", "open", "thai"):
+    if mark in "!?。！？｡" and nxt in ("upper", "upper2", "han", "kana", "digit", "open", "thai"):
         return True
     if mark == "..." and nxt == "lower":
         return False
@@ -271,7 +273,7 @@ def fit(texts: Iterable[str | None], rounds: int = 60, rate: float = 0.5, ridge:
                     continue
                 if at_end and follow and features[0] != "space":  # as if the next line followed in this one
                     features = (*features[:5], "gap", _kind(follow[0]))
-                    if features[6] not in ("upper", "han", "digit", "thai", "open"):
+                    if features[6] not in ("upper", "han", "kana", "digit", "thai", "open"):
                         continue
                 counts.setdefault(features, [0, 0])[label] += 1
     if not counts:
