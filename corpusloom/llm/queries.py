@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import areas, leaks, levels, lookalikes, neardup, overlap, packing, sentences
+from corpusloom.llm import areas, defects, leaks, levels, lookalikes, neardup, overlap, packing, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,15 @@ def p4_composition(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("outlet", "area_code").agg(F.count("*").alias("records"), F.avg("share").alias("mean_share"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.defective_pairs(_table(spark, folder, "train"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    found = p5_found(spark, folder).join(_table(spark, folder, "train").select("pair_id", "outlet"), "pair_id")
+    return found.groupBy("outlet", "defect").agg(F.count("*").alias("records"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.unlike_fields(_table(spark, folder, "train"))
 
