@@ -9,8 +9,8 @@ from corpusloom.functions import text as T
 from corpusloom.operators.lexicon import collect_evidence, load_lexicon, medical_score, serialize_evidence
 
 GENERIC_TREATMENT = "dùng thuốc"
-#: Anatomy terms that alone make a text about human biology; a parameter like the lexicon.
-BIOLOGY_ANATOMY = ("tim", "não", "gan", "phổi", "thận")
+# Anatomy terms any of which alone makes a text about human biology.
+BIOLOGY_ANATOMY = ("âm đạo", "dương vật", "tử cung", "buồng trứng", "tinh hoàn")
 
 
 def _has(category: str) -> Column:
@@ -75,7 +75,7 @@ def ladder() -> list[tuple[Column, bool, str]]:
         (h("animal") & h("taxonomy"), False, "zoology_or_ecology"),
         (h("animal") & ~c("human_medical") & ~c("translational"), False, "nonhuman_animal_content"),
         (h("plant"), False, "plant_care"),
-        (h("social"), False, "social_or_human_interest_story"),
+        (h("non_biomedical_social"), False, "social_or_human_interest_story"),
         (h("strong_lifestyle"), False, "nonmedical_lifestyle"),
         (h("lifestyle") & ~h("disease"), False, "nonmedical_lifestyle"),
         (h("deceptive_health"), False, "deceptive_or_nonmedical_health_content"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Files and prefixes in the order they are looked for.
-METRIC_FILES = ("validation_metrics.json", "eval_results.json", "test_metrics.json")
+METRIC_FILES = ("eval_results.json", "validation_metrics.json", "test_metrics.json")
 PREFIXES = ("eval_", "validation_", "test_", "")
 SCORES = ("rouge1", "rouge2", "rougeL")
 
@@ -78,6 +78,6 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def markdown_table(board: list) -> str:
     """A leaderboard as Markdown, two decimals."""
-    lines = ["| run | rouge1 | rouge2 | rougeL |", "| --- | --- | --- | --- |"]
+    lines = ["| Run | ROUGE-1 | ROUGE-2 | ROUGE-L |", "|-----|---------|---------|--------|"]
     lines += [f"| {r['run']} | {r['rouge1']:.2f} | {r['rouge2']:.2f} | {r['rougeL']:.2f} |" for r in board]
     return "\n".join(lines) + "\n"

@@ -35,7 +35,7 @@ DEMO: dict[str, tuple[str, ...]] = {
     "deceptive_health": ("thần dược", "chữa bách bệnh"),
     "lifestyle": ("thời trang", "trang điểm", "áo dài", "son lì"),
     "strong_lifestyle": ("người mẫu", "stylist", "chủ salon"),
-    "social": ("quỹ học bổng", "thiện nguyện", "mái ấm", "học trò nghèo"),
+    "non_biomedical_social": ("quỹ học bổng", "thiện nguyện", "mái ấm", "học trò nghèo"),
 }
 #: Categories that make up the evidence; the other lexicons only refine a rule.
 EVIDENCE = tuple(c for c in DEMO if c not in ("human_zoonotic", "human_exposure", "core_research_anatomy"))
