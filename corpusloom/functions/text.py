@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: White space as Python's ``str.split`` has it, as the inside of a Java character class.
 SPACE = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -24,7 +25,7 @@ ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
 TAG = r"</?[A-Za-z][^>]*>"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_nfc(text: pd.Series) -> pd.Series:
     """Entities resolved once, then canonical composition; null as empty."""
 
@@ -38,17 +39,17 @@ def unescape_nfc(text: pd.Series) -> pd.Series:
     return text.map(one, na_action=None)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: (t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold()) if t else "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if t else "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def casefold_nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t.casefold()) if t else "")
 
@@ -77,7 +78,7 @@ def canonical_key(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Weaker cleaning of model inputs: composed and collapsed only; mark-up and entities stay."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def compose(t: pd.Series) -> pd.Series:
         return t.map(lambda x: unicodedata.normalize("NFC", x) if x else "")
 
@@ -115,11 +116,20 @@ def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(casefold_nfc(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once, also where the body has it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(words: Column, size: int = 5) -> Column:
     """Distinct CRC values of all runs of ``size`` words joined by U+001F; empty under ``size`` words."""
-    joined = lambda i: F.crc32(F.array_join(F.slice(words, i, size), "\u001f").cast("binary"))
-    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    return F.when(F.size(words) >= size, F.array_distinct(F.transform(starts, joined))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (size - 1))
+        runs = F.transform(starts, lambda i: F.crc32(F.array_join(F.slice(w, i, size), "\u001f").cast("binary")))
+        return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words, of)
 
 
 def bottom_k(values: Column, k: int = 32) -> Column:

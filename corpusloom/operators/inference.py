@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from corpusloom.functions import text as T
 from corpusloom.session import ship
@@ -45,7 +46,7 @@ def summarize(rows: DataFrame, make: Callable[[], Summarizer], text_col: str = "
     """Adds ``prediction``. make() runs once per task, where the model is loaded; blank texts get an empty one."""
     ship(rows.sparkSession)
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for series in batches:
@@ -65,7 +66,7 @@ def tokenize(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[list
     """Adds token ids cut to ``most``; make() gives a function of texts and runs once per task."""
     ship(rows.sparkSession)
 
-    @pandas_udf("array<int>")
+    @pandas_udf(ArrayType(IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make()
         for series in batches:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import text as T
 from corpusloom.session import ship
@@ -46,7 +47,7 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def lcs_f1(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     def one(p, r) -> float:
         if p is None or r is None or not len(p) or not len(r):
