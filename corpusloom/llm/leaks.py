@@ -9,7 +9,7 @@ threshold in question. What is retrieved is verified by counting the shared runs
 
 The index goes to every task; it is used only up to ``most_items`` items, beyond which the runs of documents and
 items are joined instead. Null, empty and very short texts hold no item; an item under five words has no runs
-and leaks nowhere; repeated documents each have their rows.
+and leaks nowhere; repeated documents each have their rows. Items with a null id are left out.
 """
 
 from __future__ import annotations
@@ -110,8 +110,8 @@ def _search(index):
                 piece = batch.slice(at, 2000)
                 runs, owner = batch_runs(piece.column(1).to_pylist())
                 doc, item = own.search(runs, owner, piece.num_rows)
-                ids = piece.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(own.ids[item])], schema=_SCHEMA)
+                ids = piece.column(0).take(pa.array(doc, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own.ids[item], pa.int64())], schema=_SCHEMA)
 
     return run
 
@@ -123,8 +123,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = batch.slice(at, 2000)
             runs, owner = batch_runs(piece.column(1).to_pylist())
             n = np.bincount(owner, minlength=piece.num_rows)
-            ids = piece.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(runs.view(np.int64)), pa.array(n[owner])], schema=schema)
+            ids = piece.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(runs.view(np.int64)), pa.array(n[owner], pa.int64())], schema=schema)
 
 
 def leaked_items(
@@ -135,6 +135,7 @@ def leaked_items(
     spark = ship(documents.sparkSession)
     narrow = documents.select(F.col(f"`{doc_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    asked = asked.filter("item_id is not null")
     rows = asked.limit(most_items + 1).collect()
     if len(rows) <= most_items:
         index = ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], least)

@@ -7,7 +7,7 @@ the same rule and fullest first, within groups of partitions and then over all g
 than the capacity is split, into full pieces and a rest that is packed like any other item.
 
 Sizes are tokens of the byte-level tokenizer: UTF-8 bytes plus one end token. Pieces are ranges of tokens.
-A null text has the size of its end token only; repeated items are packed each; empty tables give no rows.
+Rows with a null id are packed like others. A null text has the size of its end token only; repeated items are packed each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ _ROW_SCHEMA = pa.schema(
 
 
 def _pack(kinds: list[tuple[str, int]], windows: int):
-    """Items to placements; a row with null item tells of a container left open and how full it is."""
+    """Items to placements; a row with fill tells of a container left open and how full it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,8 +123,8 @@ def pack(items: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_c
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long") + 1
     sized = items.select(F.col(f"`{id_col}`").cast("long").alias("item"), size.alias("size"))
     rows = sized.mapInArrow(_pack(kinds, windows), _ROWS)
-    placed = rows.filter("item is not null")
-    left = rows.filter("item is null").select("container_kind", "capacity", "container", "fill")
+    placed = rows.filter("fill is null")
+    left = rows.filter("fill is not null").select("container_kind", "capacity", "container", "fill")
     group = F.floor(F.shiftright("container", 36) / GROUP)
     once = left.groupBy("container_kind", "capacity", group).applyInArrow(_merge(windows), _MOVE)
     twice = once.filter("fill is not null").select("container_kind", "capacity", "container", "fill")

@@ -18,7 +18,7 @@ of copies costs its size and not its square. Fragments are cut by hash, so a fre
 make a heavy fragment. Hashes are of 64 bits, of which the fragment keeps 32 besides its own number; a clash
 could only add to an overlap of a pair that already shares a third of its runs.
 
-Null and empty texts and texts under five words have no runs and are in no pair. Repeated ids are treated as
+Null and empty texts and texts under five words have no runs and are in no pair, nor are rows with a null id. Repeated ids are treated as
 separate rows. Columns other than the named ones are ignored.
 """
 
@@ -415,6 +415,7 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, cross: bool = False,
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = even_keys(fragments, min(parts, fragments))
     entries = texts.select(F.col("id").cast("long"), F.col("kind").cast("int"), F.col("text").cast("string"))
+    entries = entries.filter("id is not null")
     entries = entries.mapInArrow(_entries(keys), _ENTRY).repartition(min(parts, fragments), "frag")
     cuts = (
         entries.mapInArrow(_pass_a(cross), _HIST).groupBy("block").applyInArrow(_make_cuts(threshold), _CUTS)
