@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.plain import _TOP, tables
 from corpusloom.llm.sentences import _BEFORE
-from corpusloom.llm.shingles import Layout, batch_runs, plain_batch, runs_of
+from corpusloom.llm.shingles import _LOW, Layout, batch_runs, plain_batch, runs_of
 from corpusloom.llm.trees import BoostedTrees
 from corpusloom.session import ship
 
@@ -111,6 +111,7 @@ class Measured:
         self.held = np.zeros(len(first), bool)
         if held_runs is not None and len(held_runs) and n >= 5:
             runs, _ = runs_of(lay.hashed, np.zeros(n, np.int64))
+            runs &= ~_LOW  # as the held-out runs are kept
             at = np.minimum(np.searchsorted(held_runs, runs), len(held_runs) - 1)
             hit = np.zeros(n)
             hit[: len(runs)] = held_runs[at] == runs
@@ -169,8 +170,8 @@ class Grader:
             return np.zeros((0, m.base.shape[1] + 4))
         if use is None:
             at = np.minimum(np.searchsorted(self.vocabulary, m.words), len(self.vocabulary) - 1)
-            known = self.vocabulary[at] == m.words
-            grades, size, base = np.where(known, self.word_grade[at], 0.0), m.size, m.base
+            known = self.vocabulary[at] == m.words if len(self.vocabulary) else np.zeros(len(m.words), bool)
+            grades, size, base = (np.where(known, self.word_grade[at], 0.0) if known.any() else np.zeros(len(known))), m.size, m.base
         else:
             size, base = m.size[use], m.base[use]
             grades = np.where(known, grades, 0.0)

@@ -13,7 +13,7 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         levels = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.cuts = [np.unique(np.quantile(column, levels)) for column in x.T]
+        self.cuts = [np.unique(np.quantile(column, levels)) if len(y) else np.zeros(0) for column in x.T]
         binned = self._bin(x)
         self.base = float(y.mean()) if len(y) else 0.0
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
