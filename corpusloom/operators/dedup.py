@@ -17,7 +17,7 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     at = F.struct(*order)
     first = rows.select(*keys, at.alias("_at")).groupBy(*keys).agg(F.min("_at").alias("_first"))
     firsts = first.select(*(F.col(f"_first.{c}").alias(c) for c in order))
-    return rows.join(firsts, order, "left_semi")
+    return rows.join(firsts, order, "left_semi").select(*rows.columns)
 
 
 def duplicate_counts(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:

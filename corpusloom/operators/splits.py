@@ -31,7 +31,7 @@ def by_priority(rows: DataFrame, priority: tuple[str, ...] = TEST_FIRST, key: st
     """Rows whose split is the best-ranked holder of their key."""
     ranked = rows.withColumn("_rank", rank_of(F.col("split"), priority))
     best = ranked.groupBy(key).agg(F.min("_rank").alias("_rank"))
-    return ranked.join(best, [key, "_rank"], "left_semi").drop("_rank")
+    return ranked.join(best, [key, "_rank"], "left_semi").select(*rows.columns)
 
 
 def assign_split(key: Column, train: float = 0.8, validation: float = 0.1) -> Column:
