@@ -9,13 +9,14 @@ instead of folding) for manifests. Null is the empty text throughout.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: White space as Python's ``str.split`` has it, as the inside of a Java character class.
 SPACE = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -54,6 +55,31 @@ def casefold_nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t.casefold()) if t else "")
 
 
+_ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u2060\ufeff]")
+_TAG = re.compile(TAG)
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
+
+
+def _normal(text: str | None) -> str:
+    if not text:
+        return ""
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = _ZERO_WIDTH.sub("", text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    return " ".join(_CONTROL.sub(" ", text).split())
+
+
+@pandas_udf(StructType([StructField("text", StringType()), StructField("key", StringType()), StructField("words", LongType())]))
+def text_forms(text: pd.Series) -> pd.DataFrame:
+    """Normalized text, canonical key and word count in one pass, for plans that use them again and again."""
+    normal = [_normal(t) for t in text]
+    keys = [t.lower() if t.isascii() else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in normal]
+    return pd.DataFrame({"text": normal, "key": keys, "words": [len(t.split()) for t in normal]})
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))

@@ -27,19 +27,21 @@ class QualityRules:
 def with_keys(pairs: DataFrame, remove_repeats: bool = False, min_repeated_chars: int = 30) -> DataFrame:
     """article and summary normalized, with keys, word counts and whether normalization changed them."""
     ship(pairs.sparkSession)
+    # one Arrow pass: what it returns is a plain column, so no rule works a text out again
+    out = pairs.withColumn("_a", T.text_forms(F.col("article").cast("string"))).withColumn("_s", T.text_forms(F.col("summary").cast("string")))
     out = (
-        pairs.withColumn("_a", T.normalize_text(F.col("article"))).withColumn("_s", T.normalize_text(F.col("summary")))
-        .withColumn("article_changed", ~F.col("article").eqNullSafe(F.col("_a")))
-        .withColumn("summary_changed", ~F.col("summary").eqNullSafe(F.col("_s")))
-        .withColumn("article", F.col("_a")).withColumn("summary", F.col("_s")).drop("_a", "_s")
+        out.withColumn("article_changed", ~F.col("article").eqNullSafe(F.col("_a.text")))
+        .withColumn("summary_changed", ~F.col("summary").eqNullSafe(F.col("_s.text")))
+        .withColumn("article", F.col("_a.text")).withColumn("summary", F.col("_s.text"))
     )
     if remove_repeats:
         from corpusloom.operators.dedup import remove_repeated_sentences
 
         out = remove_repeated_sentences(out, "article", min_repeated_chars)
+        out = out.withColumn("_a", T.text_forms(F.col("article")))
     return (
-        out.withColumn("article_key", T.canonical_key(F.col("article"))).withColumn("summary_key", T.canonical_key(F.col("summary")))
-        .withColumn("article_words", T.word_count(F.col("article"))).withColumn("summary_words", T.word_count(F.col("summary")))
+        out.withColumn("article_key", F.col("_a.key")).withColumn("summary_key", F.col("_s.key"))
+        .withColumn("article_words", F.col("_a.words")).withColumn("summary_words", F.col("_s.words")).drop("_a", "_s")
     )
 
 

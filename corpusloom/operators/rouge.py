@@ -19,8 +19,12 @@ from corpusloom.session import ship
 def _ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return T.bound(tokens, of)
 
 
 def _count(grams: Column, gram: Column) -> Column:
@@ -29,11 +33,14 @@ def _count(grams: Column, gram: Column) -> Column:
 
 def overlap_f1(prediction: Column, reference: Column, n: int) -> Column:
     """F1 of the multiset overlap of n-grams of two token arrays."""
-    p, r = _ngrams(prediction, n), _ngrams(reference, n)
-    both = F.array_intersect(p, r)
-    shared = F.aggregate(both, F.lit(0), lambda acc, g: acc + F.least(_count(p, g), _count(r, g)))
-    total = F.size(p) + F.size(r)
-    return F.when((F.size(p) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(2.0 * shared / total)
+
+    def of(sides: Column) -> Column:
+        p, r = sides["p"], sides["r"]
+        shared = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda acc, g: acc + F.least(_count(p, g), _count(r, g)))
+        empty = (F.size(p) == 0) | (F.size(r) == 0)
+        return F.when(empty, F.lit(0.0)).otherwise(2.0 * shared / (F.size(p) + F.size(r)))
+
+    return T.bound(F.struct(_ngrams(prediction, n).alias("p"), _ngrams(reference, n).alias("r")), of)
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
