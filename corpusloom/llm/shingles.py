@@ -8,6 +8,7 @@ only, so equal runs hash alike in every task and session. Texts are read whole.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -21,9 +22,17 @@ _LOW = np.uint64(0xFFFF)
 PORTION = 400_000  # code points looked at together
 
 
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+
+
+def untagged(text: str | None) -> str:
+    """The text with a space for each mark-up tag; null as empty."""
+    return _TAG.sub(" ", text) if text and "<" in text else text or ""
+
+
 def words(text: str | None) -> list[str]:
-    """The words of one text, for tests and small inputs."""
-    return WORD.findall(plain_form(text).lower()) if text else []
+    """The words of one text, for tests and small inputs; a tag separates words and is none."""
+    return WORD.findall(plain_form(untagged(text)).lower())
 
 
 @lru_cache(maxsize=1)
@@ -101,7 +110,7 @@ class Layout:
 
 def batch_words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, owner) of every word of every text, in order."""
-    layout = Layout(plain_batch(texts))
+    layout = Layout(plain_batch([untagged(t) for t in texts]))
     return layout.hashed, layout.owner
 
 
@@ -135,7 +144,7 @@ def distinct(runs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def batch_runs(texts: Sequence[str | None], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, owners): the distinct runs of every text; the owner is the text's place. Low 16 bits are 0."""
-    ready = plain_batch(texts)
+    ready = plain_batch([untagged(t) for t in texts])
     ends = np.cumsum(np.fromiter(map(len, ready), np.int64, len(ready)))
     found, at = [], 0
     while at < len(ready):  # some texts at a time, to keep the arrays small

@@ -68,6 +68,11 @@ def test_near_duplicates_are_those_of_brute_force(spark, threshold, seed):
     assert all(sets[k] == sets[r["class_id"]] for k, r in groups.items())
 
 
+def test_tags_separate_words():
+    assert words("<p>Một hai<br/>ba</p> 3 < 5 và x<y") == ["một", "hai", "ba", "3", "5", "và", "x", "y"]
+    assert words("a<b") == ["a", "b"] and words(None) == []
+
+
 def test_a_group_of_copies_is_one_class(spark):
     texts = ["cùng một bản tin được đăng lại nhiều lần ở đây"] * 300 + variants(9, 20)
     frame, _ = records(spark, texts)
