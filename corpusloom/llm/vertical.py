@@ -403,14 +403,20 @@ def _without(block: pa.Table) -> pa.Table:
 _CUT_SCHEMA = pa.schema([("block", pa.int64()), ("cuts", pa.binary())])
 
 
-def similar_texts(texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int = 16) -> tuple[DataFrame, DataFrame]:
+def similar_texts(
+    texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int | None = None, rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts of at least ``threshold`` likeness.
 
     texts: id BIGINT, kind INT, text STRING. kind is side + 2 * field: texts of different fields are never
     compared; with ``cross`` only texts of different sides (0, 1) are, else only side 0 is expected.
     pairs: a, b, likeness DOUBLE between class representatives, side 0 first when ``cross``.
     members: doc, rep, id for every text that has runs; rep is its class. Pairs inside a class are not listed.
+    fragments: one task each; if left out, as many as keep a fragment to the runs of 640,000 texts' sixteenth.
+    rows: number of texts, if known.
     """
+    if fragments is None:
+        fragments = max(16, math.ceil((texts.count() if rows is None else rows) / 40_000))
     spark = ship(texts.sparkSession)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = even_keys(fragments, min(parts, fragments))
