@@ -2,7 +2,7 @@
 
 Each partition keeps at most ``windows`` open containers per capacity. An item goes into the fullest open
 container that still takes it; if none does, a new one is opened, and when too many are open the fullest is
-closed. What is open at the end of a partition is merged: the half-filled containers are themselves packed, by
+closed. Items come to the packer ``windows`` at a time, the largest first. What is open at the end of a partition is merged: the half-filled containers are themselves packed, by
 the same rule and fullest first, within groups of partitions and then over all groups. Only an item larger
 than the capacity is split, into full pieces and a rest that is packed like any other item.
 
@@ -57,17 +57,27 @@ _ROW_SCHEMA = pa.schema(
 def _pack(kinds: list[tuple[str, int]], windows: int):
     """Items to placements; a row with fill tells of a container left open and how full it is."""
 
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+        ids, sizes = [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            sizes += batch.column(1).to_pylist()
+            while len(ids) >= windows:
+                yield ids[:windows], sizes[:windows]
+                ids, sizes = ids[windows:], sizes[windows:]
+        yield ids, sizes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
         packers = [Packer(capacity, windows) for _, capacity in kinds]
-        for batch in batches:
-            ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for ids, sizes in portions(batches):
             for (kind, capacity), packer in zip(kinds, packers, strict=True):
                 container, item, piece, start, tokens = [], [], [], [], []
                 put = packer.put
-                for i, size in zip(ids, sizes, strict=True):
+                # by what is left to place once the full pieces of a larger item are cut
+                for i, size in sorted(zip(ids, sizes, strict=True), key=lambda x: (x[1] - 1) % capacity, reverse=True):
                     begin, k = 0, 0
                     while size - begin > capacity:  # only what does not fit whole is cut
                         container.append(base + packer.next)
@@ -114,7 +124,7 @@ def _merge(windows: int):
     return run
 
 
-def pack(items: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 256) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 4096) -> DataFrame:
     """(container_kind, capacity_tokens, container_id, id, piece, start_token, tokens) of every item and capacity."""
     ship(items.sparkSession)
     kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").limit(MOST_KINDS + 1).collect()]
