@@ -9,9 +9,9 @@ import __spark_entry__ as entry
 from corpusloom import cli
 from corpusloom import config as configuration
 from corpusloom.operators import inference, lexicon
-from corpusloom.plans import cleaning, evaluation, filtering
+from corpusloom.plans import cleaning, evaluation, filtering, manifest
 from corpusloom.sources import pairs as sources
-from corpusloom.sources import sinks
+from corpusloom.sources import files, sinks
 from corpusloom.streaming import landing
 
 LONG = "Người bệnh nhập viện vì viêm phổi nặng và được điều trị bằng kháng sinh trong mười ngày liền"
@@ -126,6 +126,29 @@ def test_evaluation_pipeline(spark, tmp_path):
     assert set(predictions.columns) == {"index", "article", "reference", "prediction"}
 
 
+def test_files_and_manifest(spark, tmp_path):
+    for k, split in enumerate(sources.SPLITS):
+        write_csv(tmp_path / f"d/{split}.csv", [(f"{LONG} {k}", "một hai ba")])
+    folder = manifest.find_dataset([str(tmp_path), str(tmp_path / "d")])
+    made = manifest.build(spark, folder)
+    assert made["splits"]["train"]["rows"] == 1 and made["splits"]["test"]["sha256"] == files.sha256_file(f"{folder}/test.csv")
+    before = files.fingerprint(folder)
+    write_csv(tmp_path / "d/test.csv", [(f"{LONG} 0", "một hai ba")])
+    assert files.fingerprint(folder) != before
+    with pytest.raises(ValueError):
+        manifest.build(spark, folder)
+    assert manifest.build(spark, folder, strict=False)["cross_split_article_overlap"]["train_test"] == 1
+    with pytest.raises(FileNotFoundError):
+        manifest.find_dataset([str(tmp_path)])
+    assert files.bundle(folder, ["test.csv", "none"], str(tmp_path / "b.zip")) == ["test.csv"]
+    files.unbundle(str(tmp_path / "b.zip"), ["test.csv"], str(tmp_path / "u"))
+    with pytest.raises(FileNotFoundError):
+        files.unbundle(str(tmp_path / "b.zip"), ["x"], str(tmp_path / "u"))
+    assert files.read_input_text(path=f"{folder}/test.csv").startswith("article") and files.read_input_text(" a ") == "a"
+    with pytest.raises(ValueError):
+        files.read_input_text(" ")
+
+
 def test_configuration(tmp_path):
     config = configuration.build({"cleaning": {"min_article_words": "12", "audit_only": "true"}, "data": {"max_train_samples": None}})
     assert config.cleaning.min_article_words == 12 and config.cleaning.audit_only
