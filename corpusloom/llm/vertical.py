@@ -158,7 +158,8 @@ class _Part:
 
     def classes_of(self, owner: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """How many entries of each class every text has; texts in slices, to keep the counts small."""
-        out = np.empty((self.total, _CLASSES), np.uint32)
+        most = int(np.bincount(owner).max()) if len(owner) else 0
+        out = np.empty((self.total, _CLASSES), np.uint16 if most < 1 << 16 else np.uint32)
         for at in range(0, self.total, 50_000):
             to = min(at + 50_000, self.total)
             some = (owner >= at) & (owner < to)
@@ -246,10 +247,11 @@ def _make_cuts(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         docs = table.column("docs")[0].as_py()
-        hist = np.zeros((docs, _CLASSES), np.int64)
+        hist = np.zeros((docs, _CLASSES), np.int32)
         extra = {}
         for row in table.to_pylist():
-            hist += np.frombuffer(row["hist"], np.uint32).reshape(docs, _CLASSES)
+            kind = np.uint16 if len(row["hist"]) == 2 * docs * _CLASSES else np.uint32
+            hist += np.frombuffer(row["hist"], kind).reshape(docs, _CLASSES)
             if row["ids"] is not None:
                 extra = {k: row[k] for k in ("ids", "sizes", "prints")}
         n = hist.sum(1)
@@ -321,11 +323,12 @@ def _pass_b(cross: bool, threshold: float):
         for block, own in zip(cuts.column("block").to_pylist(), cuts.column("cuts").to_pylist(), strict=True):
             base = part.base[np.searchsorted(part.blocks, block)]
             cut[base : base + len(own)] = np.frombuffer(own, np.uint8)
+        del own, cuts
         owner, begin, length = part.by_run()
         cls = _classes(owner, begin, length, side)
         del begin
         upto = part.classes_of(owner, cls)
-        np.cumsum(upto, axis=1, out=upto)
+        np.cumsum(upto, axis=1, out=upto)  # within the type: a row's sum is a text's entries
         size = upto[:, -1].astype(np.int64)
         # entries inside prefixes; 255 marks texts that take no part (copies of another text)
         run_no = np.repeat(np.arange(len(length), dtype=np.int32), length)
