@@ -72,12 +72,30 @@ def _normal(text: str | None) -> str:
     return " ".join(_CONTROL.sub(" ", text).split())
 
 
-@pandas_udf(StructType([StructField("text", StringType()), StructField("key", StringType()), StructField("words", LongType())]))
+def _form_fields(prefix: str = "") -> list[StructField]:
+    return [StructField(f"{prefix}text", StringType()), StructField(f"{prefix}key", StringType()), StructField(f"{prefix}words", LongType())]
+
+
+def _form_columns(texts: pd.Series, prefix: str = "") -> dict[str, list]:
+    normal = [_normal(t) for t in texts]
+    keys = [t.lower() if t.isascii() else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in normal]
+    return {f"{prefix}text": normal, f"{prefix}key": keys, f"{prefix}words": [len(t.split()) for t in normal]}
+
+
+@pandas_udf(StructType(_form_fields()))
 def text_forms(text: pd.Series) -> pd.DataFrame:
     """Normalized text, canonical key and word count in one pass, for plans that use them again and again."""
-    normal = [_normal(t) for t in text]
-    keys = [t.lower() if t.isascii() else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in normal]
-    return pd.DataFrame({"text": normal, "key": keys, "words": [len(t.split()) for t in normal]})
+    return pd.DataFrame(_form_columns(text))
+
+
+@pandas_udf(StructType(_form_fields("a_") + _form_fields("s_")))
+def pair_forms(article: pd.Series, summary: pd.Series) -> pd.DataFrame:
+    """The same of two texts of a row: a_text, a_key, a_words, s_text, s_key, s_words."""
+    return pd.DataFrame(_form_columns(article, "a_") | _form_columns(summary, "s_"))
+
+
+#: Marked so that filters on what they return stay above them, instead of being pushed below a second evaluation.
+text_forms, pair_forms = text_forms.asNondeterministic(), pair_forms.asNondeterministic()
 
 
 def collapse(text: Column) -> Column:

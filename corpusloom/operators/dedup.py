@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
+def first_ordinals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The order columns of the first row of every key; one aggregation with map-side combine."""
+    rest = [c for c in order if c not in keys]
+    if len(rest) == 1:  # a plain minimum is hashed, one of a struct would be sorted
+        return rows.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*order)
+    first = rows.select(*keys, F.struct(*order).alias("_at")).groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return first.select(*(F.col(f"_first.{c}").alias(c) for c in order))
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of every key by the order, which must be total.
 
-    A minimum by key with map-side combine and a join on the ordinal: a key that a third of the rows share is
-    not sorted in one task, as a window would.
+    The first ordinals joined back: a key that a third of the rows share is not sorted in one task, as a window
+    would, and no text is shuffled to find them.
     """
-    at = F.struct(*order)
-    first = rows.select(*keys, at.alias("_at")).groupBy(*keys).agg(F.min("_at").alias("_first"))
-    firsts = first.select(*(F.col(f"_first.{c}").alias(c) for c in order))
-    return rows.join(firsts, order, "left_semi").select(*rows.columns)
+    return rows.join(first_ordinals(rows, keys, order), order, "left_semi").select(*rows.columns)
 
 
 def duplicate_counts(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:

@@ -28,21 +28,20 @@ def with_keys(pairs: DataFrame, remove_repeats: bool = False, min_repeated_chars
     """article and summary normalized, with keys, word counts and whether normalization changed them."""
     ship(pairs.sparkSession)
     # one Arrow pass: what it returns is a plain column, so no rule works a text out again
-    out = pairs.withColumn("_a", T.text_forms(F.col("article").cast("string"))).withColumn("_s", T.text_forms(F.col("summary").cast("string")))
+    out = pairs.withColumn("_f", T.pair_forms(F.col("article").cast("string"), F.col("summary").cast("string")))
     out = (
-        out.withColumn("article_changed", ~F.col("article").eqNullSafe(F.col("_a.text")))
-        .withColumn("summary_changed", ~F.col("summary").eqNullSafe(F.col("_s.text")))
-        .withColumn("article", F.col("_a.text")).withColumn("summary", F.col("_s.text"))
-    )
-    if remove_repeats:
-        from corpusloom.operators.dedup import remove_repeated_sentences
-
-        out = remove_repeated_sentences(out, "article", min_repeated_chars)
-        out = out.withColumn("_a", T.text_forms(F.col("article")))
-    return (
-        out.withColumn("article_key", F.col("_a.key")).withColumn("summary_key", F.col("_s.key"))
-        .withColumn("article_words", F.col("_a.words")).withColumn("summary_words", F.col("_s.words")).drop("_a", "_s")
+        out.withColumn("article_changed", ~F.col("article").eqNullSafe(F.col("_f.a_text")))
+        .withColumn("summary_changed", ~F.col("summary").eqNullSafe(F.col("_f.s_text")))
+        .withColumn("article", F.col("_f.a_text")).withColumn("summary", F.col("_f.s_text"))
+        .withColumn("article_key", F.col("_f.a_key")).withColumn("summary_key", F.col("_f.s_key"))
+        .withColumn("article_words", F.col("_f.a_words")).withColumn("summary_words", F.col("_f.s_words")).drop("_f")
     )
+    if not remove_repeats:
+        return out
+    from corpusloom.operators.dedup import remove_repeated_sentences
+
+    out = remove_repeated_sentences(out, "article", min_repeated_chars).withColumn("_a", T.text_forms(F.col("article")))
+    return out.withColumn("article_key", F.col("_a.key")).withColumn("article_words", F.col("_a.words")).drop("_a")
 
 
 def quality_reasons(keyed: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

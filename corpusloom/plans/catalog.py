@@ -67,7 +67,7 @@ def reject_reason_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_first(spark: SparkSession, folder: str, keys: tuple[str, ...]) -> DataFrame:
-    return dedup.keep_first(_kept(spark, folder), ["split", *keys], ["split", "row_ord"]).select("split", "row_ord")
+    return dedup.first_ordinals(_kept(spark, folder), ["split", *keys], ["split", "row_ord"])
 
 
 def duplicate_counts(spark: SparkSession, folder: str) -> DataFrame:
