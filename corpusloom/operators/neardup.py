@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.operators.splits import TEST_FIRST, rank_of
-from corpusloom.session import checkpoint
+from corpusloom.session import checkpoint, ship
 
 BOTTOM_K = 32
 
@@ -26,8 +26,8 @@ def distinct_texts(keyed: DataFrame, priority: tuple[str, ...] = TEST_FIRST) ->
 
 
 def with_shingles(texts: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all("key", F.lit(f"({T.WORD})"), F.lit(1))
-    return texts.withColumn("sh", T.shingles(words)).withColumn("n", F.size("sh"))
+    ship(texts.sparkSession)
+    return texts.withColumn("sh", T.key_shingles(F.col("key"))).withColumn("n", F.size("sh"))
 
 
 def similar_keys(texts: DataFrame, threshold: float, k: int = BOTTOM_K) -> DataFrame:

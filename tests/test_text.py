@@ -81,6 +81,13 @@ def test_shingles(spark):
     assert [sorted(v)[:32] for v in got] == column(frame, T.bottom_k(T.shingles(F.coalesce("w", F.array().cast("array<string>")))))
 
 
+def test_shingles_of_keys(spark):
+    keys = [None, "", "a b c d", "a b, c-d e f_1 ²g", "ß " * 9]
+    frame = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    words = F.regexp_extract_all(F.coalesce("k", F.lit("")), F.lit(f"({T.WORD})"), F.lit(1))
+    assert column(frame, T.key_shingles(F.col("k"))) == column(frame, F.array_sort(T.shingles(words)))
+
+
 def test_jaccard(spark):
     frame = spark.createDataFrame([(0, [1, 2, 3], [2, 3, 4]), (1, [], [1]), (2, [1], [1])], "i int, a array<bigint>, b array<bigint>")
     assert column(frame, T.jaccard(F.col("a"), F.col("b"))) == [0.5, 0.0, 1.0]
