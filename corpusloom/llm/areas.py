@@ -116,19 +116,34 @@ class AreaModel:
 
 def weak_labels(sentences: list[str], names: list[str], seeds: dict[str, list[str]]) -> np.ndarray:
     """Area of every sentence that holds seeds of it alone; -1: neutral seeds alone; -2: not labelled."""
-    tests = []
-    for name in [*names, "neutral"]:
-        words = [re.escape(w) for w in seeds.get(name, ())]
-        spaced = [rf"\b{w}\b" if re.match(r"[A-Za-zÀ-ɏḀ-ỿ]", w.replace("\\", "")) else w for w in words]
-        tests.append(re.compile("|".join(spaced)) if spaced else None)
+    import ahocorasick
+
+    finder = ahocorasick.Automaton()
+    held: dict[str, set[int]] = {}
+    for k, name in enumerate([*names, "neutral"]):
+        for phrase in seeds.get(name, ()):
+            held.setdefault(phrase, set()).add(k)
+    for phrase, areas in held.items():
+        spaced = bool(re.match(r"[A-Za-zÀ-ɏḀ-ỿ]", phrase))  # of a script with spaces: whole words only
+        finder.add_word(phrase, (len(phrase), spaced, areas))
     out = np.full(len(sentences), -2)
+    if not held:
+        return out
+    finder.make_automaton()
+    neutral = len(names)
     for i, sentence in enumerate(sentences):
         low = sentence.lower()
-        hits = [k for k, t in enumerate(tests) if t is not None and t.search(low)]
-        areas = [k for k in hits if k < len(names)]
-        if len(areas) == 1:
-            out[i] = areas[0]
-        elif hits and not areas:
+        hits: set[int] = set()
+        for last, (size, spaced, areas) in finder.iter(low):
+            if spaced:
+                before, after = low[last - size : last - size + 1] if last >= size else "", low[last + 1 : last + 2]
+                if before.isalnum() or after.isalnum():
+                    continue
+            hits |= areas
+        areas_hit = hits - {neutral}
+        if len(areas_hit) == 1:
+            out[i] = areas_hit.pop()
+        elif hits and not areas_hit:
             out[i] = -1
     return out
 
