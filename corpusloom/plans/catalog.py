@@ -225,6 +225,29 @@ def model_delta(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.model_delta(run_leaderboard(spark, folder), "validation", "test")
 
 
+def metric_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Which metrics file counts for a run, runs and files made from orders."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    names = F.array(*map(F.lit, (*reversed(evaluation.METRIC_FILES), "train_results.json")))
+    file = F.element_at(names, (F.pmod("o_custkey", F.lit(4)) + 1).cast("int"))
+    runs = F.concat(F.lit("run"), F.pmod("o_orderkey", F.lit(997)).cast("string"))
+    return evaluation.first_metric_file(orders.select(runs.alias("run"), file.alias("file")))
+
+
+def score_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of runs by the first prefix present, runs and names made from orders."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    pick = lambda column, names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(column, F.lit(len(names))) + 1).cast("int"))
+    name = F.concat(pick("o_custkey", evaluation.PREFIXES), pick("o_orderkey", evaluation.SCORES))
+    runs = F.concat(F.lit("run"), F.pmod("o_orderkey", F.lit(997)).cast("string"))
+    return evaluation.coalesce_scores(orders.select(runs.alias("run"), name.alias("name"), F.pmod("o_custkey", F.lit(100)).cast("double").alias("value")))
+
+
+def durations(spark: SparkSession, folder: str) -> DataFrame:
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    return orders.select("o_orderkey", T.format_duration(F.pmod("o_orderkey", F.lit(9000))).alias("took"))
+
+
 def _tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/orders.parquet")
     ids = F.array(*((F.pmod(F.col("o_orderkey") * m, F.lit(401)) - 20).cast("int") for m in (1, 3, 7, 11)))
@@ -266,7 +289,7 @@ def queries() -> dict[str, Query]:
         repeated_sentence_counts, shingle_counts, bottom_k_signature, near_dup_pairs, near_dup_survivors, near_dup_examples,
         lexicon_hits, evidence_scores, domain_classify, exclusion_audit_counts, keep_rates, rouge_corpus, prediction_export,
         run_leaderboard, model_delta, token_sanitize, generation_length, prefix_inputs, compression_ratio, tokenize_pairs,
-        summarize_batch,
+        summarize_batch, metric_files, score_prefixes, durations,
     )
     found: dict[str, Query] = {f.__name__: f for f in named}
     found |= {

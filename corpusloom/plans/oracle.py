@@ -291,5 +291,24 @@ def statements() -> dict[str, str]:
         "prefix_inputs": f"{_PAIRS} SELECT row_ord, 'summarize: ' || {_space(nfc)} AS input FROM pairs",
         "compression_ratio": f"{_KEYED} SELECT row_ord, round(CASE WHEN article_words > 0 THEN (1 - CAST(summary_words AS DOUBLE) / article_words) * 100 END, 1) AS saved FROM keyed",
         "tokenize_pairs": f"{_PAIRS} SELECT row_ord, CAST(least(768, octet_length(encode(coalesce(raw_article, ''))) + 1) AS BIGINT) AS inputs, CAST(least(160, octet_length(encode(coalesce(raw_summary, ''))) + 1) AS BIGINT) AS labels FROM pairs",
+        "metric_files": (
+            "SELECT run, arg_min(file, place) AS file FROM (SELECT 'run' || CAST(o_orderkey % 997 AS VARCHAR) AS run, "
+            "['test_metrics.json', 'validation_metrics.json', 'eval_results.json', 'train_results.json'][o_custkey % 4 + 1] AS file, "
+            "3 - o_custkey % 4 AS place FROM orders) WHERE place > 0 GROUP BY run"
+        ),
+        "score_prefixes": (
+            "WITH m AS (SELECT 'run' || CAST(o_orderkey % 997 AS VARCHAR) AS run, ['eval_', 'validation_', 'test_', ''][o_custkey % 4 + 1] || "
+            "['rouge1', 'rouge2', 'rougeL'][o_orderkey % 3 + 1] AS name, CAST(o_custkey % 100 AS DOUBLE) AS value FROM orders) SELECT run, "
+            + ", ".join(
+                "coalesce(" + ", ".join(f"max(CASE WHEN name = '{p}{m}' THEN value END)" for p in ("eval_", "validation_", "test_", "")) + f', 0.0) AS "{m}"'
+                for m in ("rouge1", "rouge2", "rougeL")
+            )
+            + " FROM m GROUP BY run"
+        ),
+        "durations": (
+            "SELECT o_orderkey, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || 'h ' ELSE '' END || "
+            "CASE WHEN s % 3600 >= 60 THEN CAST(s % 3600 // 60 AS VARCHAR) || 'm ' ELSE '' END || CAST(s % 60 AS VARCHAR) || 's' AS took "
+            "FROM (SELECT o_orderkey, o_orderkey % 9000 AS s FROM orders)"
+        ),
         "summarize_batch": f"{_NORM} SELECT row_ord, array_to_string(({words('article')})[1:20], ' ') AS prediction FROM normed",
     }
