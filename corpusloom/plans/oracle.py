@@ -109,7 +109,8 @@ def _grams(tokens: str, n: int) -> str:
 
 
 def _rouge_rows(n: int) -> str:
-    tok = lambda x: rf"regexp_extract_all(nfc_normalize(replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')), '[\p{{L}}\p{{N}}]+')"
+    case = lambda x: f"replace(replace(replace(replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    tok = lambda x: rf"regexp_extract_all(nfc_normalize({case(x)}), '[\p{{L}}\p{{N}}]+')"
     return (
         f"{_NORM}, made AS MATERIALIZED (SELECT split, row_ord, {tok(f'array_to_string(({words("article")})[1:30], {_q(" ")})')} AS p, "
         f"{tok('summary')} AS r FROM normed), grams AS (SELECT split, row_ord, {_grams('p', n)} AS p, {_grams('r', n)} AS r FROM made), "
