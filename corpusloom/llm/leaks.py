@@ -7,8 +7,8 @@ threshold, so retrieving all items above their thresholds loses none. A document
 its terms' largest weights, and then a block as soon as the sum of its largest weights, stays below every
 threshold in question. What is retrieved is verified by counting the shared runs.
 
-The index goes to every task; it is used only up to ``most_items`` items, beyond which the runs of documents and
-items are joined instead. Null, empty and very short texts hold no item; an item under five words has no runs
+The index goes to every task; it is used only up to ``most_items`` items of ``most_bytes`` in all, beyond which the
+runs of documents and items are joined instead. Null, empty and very short texts hold no item; an item under five words has no runs
 and leaks nowhere; repeated documents each have their rows. Items with a null id are left out.
 """
 
@@ -129,15 +129,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
-    least: float = 0.4, most_items: int = 100_000,
+    least: float = 0.4, most_items: int = 100_000, most_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(doc_id, item_id): documents that hold at least ``least`` of an item's five-word runs anywhere."""
     spark = ship(documents.sparkSession)
     narrow = documents.select(F.col(f"`{doc_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     asked = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     asked = asked.filter("item_id is not null")
-    rows = asked.limit(most_items + 1).collect()
-    if len(rows) <= most_items:
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= most_items and size["bytes"] <= most_bytes:
+        rows = asked.collect()
         index = ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], least)
         return narrow.mapInArrow(_search(spark.sparkContext.broadcast(index)), "doc_id long, item_id long")
     schema = "id long, run long, n long"

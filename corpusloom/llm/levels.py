@@ -7,7 +7,8 @@ are calibrated on held-out folds turn grades into levels; a document has the lev
 the mean grade deciding ties. Sentences of held-out passages (most of whose five-word runs are an item's) do not
 count, and mark-up is taken out first.
 
-The samples are few and fixed and are read to the driver up to ``MOST_SAMPLES`` rows. Documents without a
+The samples are few and fixed and are read to the driver up to ``MOST_SAMPLES`` rows (a bounded sample to fit on); more
+held-out passages than that are an error. Documents without a
 sentence, null ones included, get the level nearest to the samples' mean. Repeated documents each have a row.
 """
 
@@ -243,7 +244,10 @@ def reading_levels(
     grader = Grader([r[1] for r in rows], [r[2] for r in rows])
     held = None
     if held_out is not None:
-        held = np.unique(batch_runs([r[0] for r in held_out.select("text").limit(MOST_SAMPLES).collect()])[0])
+        passages = [r[0] for r in held_out.select("text").limit(MOST_SAMPLES + 1).collect()]
+        if len(passages) > MOST_SAMPLES:
+            raise ValueError(f"more than {MOST_SAMPLES} held-out passages; take them out of the texts first")
+        held = np.unique(batch_runs(passages)[0])
     model = spark.sparkContext.broadcast((grader, held))
     narrow = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = narrow.mapInArrow(_grade(model), "doc_id long, reading_level long, grade double, sentences long")
