@@ -415,7 +415,7 @@ def similar_texts(
     compared; with ``cross`` only texts of different sides (0, 1) are, else only side 0 is expected.
     pairs: a, b, likeness DOUBLE between class representatives, side 0 first when ``cross``.
     members: doc, rep, id for every text that has runs; rep is its class. Pairs inside a class are not listed.
-    fragments: one task each; if left out, as many as keep a fragment to the runs of 640,000 texts' sixteenth.
+    fragments: one task each; if left out, one for every 40,000 texts, but 16 at least.
     rows: number of texts, if known.
     """
     if fragments is None:
