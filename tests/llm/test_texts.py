@@ -211,6 +211,27 @@ def test_defects(spark, data):
     assert defects.defective_pairs(base.limit(0)).count() == 0
 
 
+SOUND = [
+    "石桥乡出现术后感染，涉及640名孕妇，逄青禾主任建议咨询药师。白鹭洲中心医院为一例肾移植手术讨论了59个小时。",
+    "霧ヶ原で術後の感染があり、814人の高齢者に影響した。蓮見坂岳斗教授は食事の記録を勧めている。",
+]
+
+
+def test_copies_of_a_sound_record_are_no_template(spark, data):
+    base = spark.read.parquet(f"{data}/train.parquet").select("pair_id", "article", "summary")
+    prose = [r["article"] for r in base.orderBy("pair_id").collect() if r["article"] and len(r["article"]) > 600 and r["article"].count("đ") > 20]
+    local = "石桥乡卫生院上周收治了多名病人，{}。医生说他们都已经好转。镇政府请大家注意饮水卫生，并在三天以内完成检查。"
+    rows = [(900000 + k, local.format("有人发热"), SOUND[0]) for k in range(5)]  # loaded again and again
+    rows += [(900010 + k, local.format(f"第{k}号病房已满"), SOUND[0]) for k in range(4)]  # a whole summary, though of few words
+    rows += [(900020 + k, "霧ヶ原の病院では患者が増えている。医師は早めの受診を勧めた。町は水の検査を三日以内に終えると発表した。", SOUND[1]) for k in range(3)]
+    rows += [(900030 + k, prose[0], "Qwxz vbnm") for k in range(4)]  # short, but of one article
+    rows += [(900040 + k, text, "Zzyx kpqr") for k, text in enumerate(dict.fromkeys(prose[:9]))]  # short and of many
+    frame = base.unionByName(spark.createDataFrame(rows, "pair_id long, article string, summary string"))
+    found = {r["pair_id"]: r["defect"] for r in defects.defective_pairs(frame).filter("pair_id >= 900000").collect()}
+    assert not [k for k, v in found.items() if v == "empty" and k < 900040]
+    assert [found.get(k) for k in range(900040, 900043)] == ["empty"] * 3
+
+
 def test_endings_on_held_out_sentences(data):
     rows = pd.read_parquet(f"{data}/train.parquet")
     splitter = sentences.fit(rows.article)
