@@ -207,7 +207,7 @@ def rouge_l_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rouge_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return rouge.rouge_corpus(rouge.rouge_rows(_predictions(spark, folder), with_l=False), ("split",))
+    return rouge.rouge_corpus(rouge.rouge_rows(_predictions(spark, folder)), ("split",))
 
 
 def prediction_export(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,9 +216,8 @@ def prediction_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
-    scores = rouge.rouge_corpus(rouge.rouge_rows(_predictions(spark, folder), with_l=False), ("split",))
-    named = scores.select(F.col("split").alias("run"), "rouge1", "rouge2", F.col("rouge1").alias("rougeL"))
-    return evaluation.leaderboard(named)
+    scores = rouge_corpus(spark, folder)
+    return evaluation.leaderboard(scores.select(F.col("split").alias("run"), "rouge1", "rouge2", "rougeL"))
 
 
 def model_delta(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom import cli
@@ -186,6 +187,33 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_common_subsequence_scores_against_brute_force(spark, data):
+    from corpusloom.functions import text as T
+
+    def common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    scores = {}
+    made = entry.catalog._predictions(spark, data).select("split", T.rouge_tokens(F.col("prediction")).alias("p"), T.rouge_tokens(F.col("reference")).alias("r"))
+    for split, p, r in made.collect():
+        scores.setdefault(split, []).append(2 * common(p, r) / (len(p) + len(r)) if p and r else 0.0)
+    mean = {k: 100 * sum(v) / len(v) for k, v in scores.items()}
+    queries = entry.queries()
+    corpus = {r["split"]: r for r in queries["rouge_corpus"](spark, data).collect()}
+    board = {r["run"]: r for r in queries["run_leaderboard"](spark, data).collect()}
+    assert {k: r["rougeL"] for k, r in corpus.items()} == pytest.approx(mean, abs=0.00501)
+    assert {k: r["rougeL"] for k, r in board.items()} == pytest.approx(mean, abs=0.00501)
+    assert sorted(board, key=lambda k: board[k]["place"]) == sorted(mean, key=lambda k: -mean[k])
+    assert any(r["rougeL"] != r["rouge1"] for r in board.values())
+    delta = {r["metric"]: r for r in queries["model_delta"](spark, data).collect()}["rougeL"]
+    assert (delta["base"], delta["tuned"]) == (board["validation"]["rougeL"], board["test"]["rougeL"])
+    assert delta["delta"] == pytest.approx(mean["test"] - mean["validation"], abs=0.011)
+
+
 @pytest.mark.parametrize("name", sorted(entry.catalog.oracle_sql()))
 def test_query_against_sql(spark, data, name):
     import glob
