@@ -4,19 +4,21 @@ All pairs of texts whose sets of five-word runs have a Jaccard likeness of at le
 
 1. Every text becomes its set of run hashes. The global order of runs (rare first) is cut into ``fragments``;
    each fragment holds the part of every set that falls into it, packed by blocks of texts.
-2. Pass A counts, in each fragment, how many texts share each run, and reports for every text how many of its
-   runs fall into each rarity class. Summed over the fragments this gives the class up to which a text's prefix
-   reaches (the rarest ``n - ceil(t*n) + 1`` runs, filled up to a whole class).
-3. Pass B counts in each fragment the runs shared inside both prefixes. If a pair has likeness t, then in some
-   fragment its parts have likeness t as well; a pair is reported there if the shared prefix runs plus the
-   smaller of the two tails can reach that, and then the part's exact overlap does. No partner is capped.
-4. Pass C counts the exact overlap of the reported pairs in every fragment; the partial overlaps are summed
+2. Pass B counts, in each fragment, how many texts share each run. Every part has a prefix of its own: its rarest
+   ``n - ceil(t*n) + 1`` runs, n being the part's size, filled up to a whole rarity class. If a pair has likeness t,
+   then in some fragment its parts have likeness t as well, and so share a run inside both parts' prefixes; a pair
+   is reported there if the shared prefix runs plus the smaller of the two tails can reach that, and then the
+   part's exact overlap does. No partner is capped. Parts of short texts are alike by a single run, so these
+   carry marks of all their runs: a mark that only one of two texts has is a run that they do not share, and pairs
+   that cannot reach the threshold by that bound are left out.
+3. Pass C counts the exact overlap of the reported pairs in every fragment; the partial overlaps are summed
    per pair and give the exact likeness.
 
 Texts with equal sets are one class: one member is compared, the rest are listed as members, so a large group
 of copies costs its size and not its square. Fragments are cut by hash, so a frequent source or key does not
 make a heavy fragment. Hashes are of 64 bits, of which the fragment keeps 32 besides its own number; a clash
-could only add to an overlap of a pair that already shares a third of its runs.
+could only add to an overlap of a pair that already shares a third of its runs. The more fragments there are for the
+runs of a text, the larger a share of them its prefixes take.
 
 Null and empty texts and texts under five words have no runs and are in no pair, nor are rows with a null id. Repeated ids are treated as
 separate rows. Columns other than the named ones are ignored.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +42,10 @@ BLOCK = 4096
 _STEP = 2  # rarity classes: half powers of two
 _CLASSES = 40
 _CHUNK = 500_000  # pairs looked at together
+_MARKS = 128  # bits a text
+_SHORT = 96  # runs of a text that marks are of use for
 
-_ENTRY = "frag int, block long, docs int, idx binary, runs binary, ids binary, sizes binary, prints binary"
-_HIST = "block long, docs int, hist binary, ids binary, sizes binary, prints binary"
-_CUTS = "block long, cuts binary, ids binary, sizes binary, prints binary"
+_ENTRY = "frag int, block long, docs int, idx binary, runs binary, ids binary, sizes binary, prints binary, marks binary"
 
 
 def _mur(key: int) -> int:
@@ -102,6 +105,11 @@ def _entries(keys: list[int]):
             order = np.argsort(owner, kind="stable")
             some = np.flatnonzero(n)
             prints[some] = np.add.reduceat((runs * np.uint64(0xD6E8FEB86659FD93))[order], np.cumsum(n, dtype=np.int64)[some] - n[some])
+        marks = None
+        if np.median(n) <= _SHORT:
+            flags = np.zeros((piece.num_rows, _MARKS), bool)
+            flags[owner, ((runs >> np.uint64(32)) % np.uint64(_MARKS)).astype(np.int64)] = True
+            marks = np.packbits(flags, axis=1).tobytes()
         place = ((runs >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.uint16)
         order = np.argsort(place, kind="stable")
         ends = np.searchsorted(place[order], np.arange(fragments + 1))
@@ -116,8 +124,9 @@ def _entries(keys: list[int]):
                 "idx": [owner[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
                 "runs": [low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
                 "ids": [ids.tobytes(), *none],
-                "sizes": [n.tobytes(), *none],
+                "sizes": [n.tobytes(), *([n.tobytes()] * (fragments - 1) if marks else none)],
                 "prints": [prints.tobytes(), *none],
+                "marks": [marks] * fragments,
             },
             schema=_ENTRY_SCHEMA,
         )
@@ -127,7 +136,7 @@ def _entries(keys: list[int]):
 
 _ENTRY_SCHEMA = pa.schema(
     [("frag", pa.int32()), ("block", pa.int64()), ("docs", pa.int32())]
-    + [(k, pa.binary()) for k in ("idx", "runs", "ids", "sizes", "prints")]
+    + [(k, pa.binary()) for k in ("idx", "runs", "ids", "sizes", "prints", "marks")]
 )
 
 
@@ -211,65 +220,10 @@ def _side(part: _Part) -> np.ndarray:
     return np.repeat((part.blocks & 1).astype(bool), part.docs)
 
 
-def _pass_a(cross: bool):
-    """Rarity classes of the runs of each text, counted by fragment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        for frag in sorted(set(table.column("frag").to_pylist())):
-            mine = table.filter(pa.compute.equal(table.column("frag"), frag))
-            part = _Part(*_rows(mine))
-            owner, begin, length = part.by_run()
-            cls = _classes(owner, begin, length, _side(part) if cross else None)
-            hist = part.classes_of(owner, cls)
-            place = {b: i for i, b in enumerate(mine.column("block").to_pylist())}
-            for block, base, docs in zip(part.blocks.tolist(), part.base, part.docs, strict=True):
-                row = {"block": [block], "docs": [int(docs)], "hist": [hist[base : base + docs].tobytes()]}
-                row |= {k: [mine.column(k)[place[block]].as_py()] for k in ("ids", "sizes", "prints")}
-                yield pa.RecordBatch.from_pydict(row, schema=_HIST_SCHEMA)
-            del part, owner, begin, length, cls, hist
-        tidy()
-
-    return run
-
-
-_HIST_SCHEMA = pa.schema(
-    [("block", pa.int64()), ("docs", pa.int32()), *((k, pa.binary()) for k in ("hist", "ids", "sizes", "prints"))]
-)
-_CUTS_SCHEMA = pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("cuts", "ids", "sizes", "prints"))])
-
-
-def _make_cuts(threshold: float):
-    """Per block: the class up to which each text's prefix reaches, and what is known of its texts."""
-
-    def run(table: pa.Table) -> pa.Table:
-        docs = table.column("docs")[0].as_py()
-        hist = np.zeros((docs, _CLASSES), np.int32)
-        extra = {}
-        for row in table.to_pylist():
-            kind = np.uint16 if len(row["hist"]) == 2 * docs * _CLASSES else np.uint32
-            hist += np.frombuffer(row["hist"], kind).reshape(docs, _CLASSES)
-            if row["ids"] is not None:
-                extra = {k: row[k] for k in ("ids", "sizes", "prints")}
-        n = hist.sum(1)
-        prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-        cuts = (hist.cumsum(1) >= prefix[:, None]).argmax(1).astype(np.uint8)
-        cuts[n == 0] = 255
-        return pa.Table.from_pydict(
-            {"block": [table.column("block")[0].as_py()], "cuts": [cuts.tobytes()], **{k: [v] for k, v in extra.items()}},
-            schema=_CUTS_SCHEMA,
-        )
-
-    return run
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text with runs."""
+    """One row for each text with runs, from the entries that hold a block's ids."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in batch.filter(pc.is_valid(batch.column("ids"))).select(["block", "ids", "sizes", "prints"]).to_pylist():
             n = np.frombuffer(row["sizes"], np.uint32)
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict(
@@ -309,27 +263,46 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
     return shared
 
 
+def _marked(part: _Part, entries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(n, marks) of the texts; n is -1 where a block has no marks."""
+    n, marks = np.full(part.total, -1, np.int64), np.zeros((part.total, _MARKS // 64), np.uint64)
+    for block, sizes, own in zip(*(entries.column(k).to_pylist() for k in ("block", "sizes", "marks")), strict=True):
+        if own is not None:
+            at = part.base[np.searchsorted(part.blocks, block)]
+            held = np.frombuffer(sizes, np.uint32)
+            n[at : at + len(held)] = held
+            marks[at : at + len(held)] = np.frombuffer(own, np.uint64).reshape(len(held), -1)
+    return n, marks
+
+
+def _within_reach(n: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray, need: float) -> np.ndarray:
+    """Whether whole texts a and b can reach the threshold: every mark of one alone is a run of one alone."""
+    only_a = np.bitwise_count(marks[a] & ~marks[b]).sum(1, dtype=np.int64)
+    only_b = np.bitwise_count(marks[b] & ~marks[a]).sum(1, dtype=np.int64)
+    most = np.minimum(n[a] - only_a, n[b] - only_b)
+    return (n[a] < 0) | (n[b] < 0) | (most >= need * (n[a] + n[b]) - 1e-9)
+
+
 def _pass_b(cross: bool, threshold: float):
-    """Pairs whose parts in this fragment are alike enough. Left: entries; right: cuts of every block."""
+    """Pairs whose parts in this fragment are alike enough. Left: entries; right: the texts of each block that are copies."""
     need = threshold / (1 + threshold)
 
-    def run(entries: pa.Table, cuts: pa.Table) -> pa.Table:
-        if not entries.num_rows or not cuts.num_rows:
+    def run(entries: pa.Table, copies: pa.Table) -> pa.Table:
+        if not entries.num_rows:
             return _PAIR_SCHEMA.empty_table()
         tidy()
         part = _Part(*_rows(entries))
         side = _side(part) if cross else None
-        cut = np.full(part.total, 255, np.uint8)
-        for block, own in zip(cuts.column("block").to_pylist(), cuts.column("cuts").to_pylist(), strict=True):
-            base = part.base[np.searchsorted(part.blocks, block)]
-            cut[base : base + len(own)] = np.frombuffer(own, np.uint8)
-        del own, cuts
         owner, begin, length = part.by_run()
         cls = _classes(owner, begin, length, side)
         del begin
         upto = part.classes_of(owner, cls)
         np.cumsum(upto, axis=1, out=upto)  # within the type: a row's sum is a text's entries
         size = upto[:, -1].astype(np.int64)
+        prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+        cut = (upto >= prefix[:, None]).argmax(1).astype(np.uint8)
+        for gone in copies.column("gone"):
+            cut[part.number(gone.values.to_numpy(zero_copy_only=False))] = 255
         # entries inside prefixes; 255 marks texts that take no part (copies of another text)
         run_no = np.repeat(np.arange(len(length), dtype=np.int32), length)
         keep = (cls > 0) & (cls <= cut[owner]) & (cut[owner] < 255)
@@ -375,6 +348,8 @@ def _pass_b(cross: bool, threshold: float):
         del owner, order, owner_o, first_o, count_o, steps, upto, cut
         key = np.concatenate(likely)
         a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        some = _within_reach(*_marked(part, entries), a, b, need)
+        a, b = a[some], b[some]
         ok = _overlaps(*part.by_text(), a, b) >= need * (size[a] + size[b]) - 1e-9
         pairs = (part.named(a[ok]), part.named(b[ok]))
         return pa.Table.from_arrays([pa.array(x) for x in pairs], schema=_PAIR_SCHEMA)
@@ -395,17 +370,6 @@ def _pass_c(entries: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x[some]) for x in (a, b, shared)], schema=_PART_SCHEMA)
 
 
-def _without(block: pa.Table) -> pa.Table:
-    """Cuts of a block with the texts in ``gone`` taken out."""
-    row = block.to_pylist()[0]
-    cuts = np.frombuffer(row["cuts"], np.uint8).copy()
-    cuts[[d & 0xFFFF for d in row["gone"] or ()]] = 255
-    return pa.Table.from_pydict({"block": [row["block"]], "cuts": [cuts.tobytes()]}, schema=_CUT_SCHEMA)
-
-
-_CUT_SCHEMA = pa.schema([("block", pa.int64()), ("cuts", pa.binary())])
-
-
 def similar_texts(
     texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int | None = None, rows: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -426,10 +390,7 @@ def similar_texts(
     entries = texts.select(F.col("id").cast("long"), F.col("kind").cast("int"), F.col("text").cast("string"))
     entries = entries.filter("id is not null")
     entries = entries.mapInArrow(_entries(keys), _ENTRY).repartition(min(parts, fragments), "frag")
-    cuts = (
-        entries.mapInArrow(_pass_a(cross), _HIST).groupBy("block").applyInArrow(_make_cuts(threshold), _CUTS)
-    )
-    docs = cuts.mapInArrow(_texts, "doc long, id long, n long, print long")
+    docs = entries.mapInArrow(_texts, "doc long, id long, n long, print long")
     kind = F.shiftright("doc", 16).bitwiseAND(F.lit(3))
     classes = docs.groupBy("print", "n", kind.alias("kind")).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     copied = classes.filter("copies > 1").select("print", "n", "kind", "rep")
@@ -439,9 +400,8 @@ def similar_texts(
         members.filter("doc <> rep").groupBy(F.shiftright("doc", 16).alias("block")).agg(F.collect_list("doc").alias("gone"))
     )
     every = F.explode(F.array(*map(F.lit, keys))).alias("frag")
-    left = cuts.select("block", "cuts").join(gone, "block", "left").mapInArrow(_each(_without), "block long, cuts binary")
     found = (
-        entries.groupBy("frag").cogroup(left.select(every, "block", "cuts").groupBy("frag"))
+        entries.groupBy("frag").cogroup(gone.select(every, "block", "gone").groupBy("frag"))
         .applyInArrow(_pass_b(cross, threshold), "a long, b long").distinct()
     )
     summed = (
@@ -456,14 +416,3 @@ def similar_texts(
         .filter(F.col("likeness") >= threshold - 1e-12).select("a", "b", "likeness")
     )
     return pairs, members.select("doc", "rep", "id")
-
-
-def _each(one):
-    """A function of one-row tables over batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from one(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
-
-    return run

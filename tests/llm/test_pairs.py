@@ -124,6 +124,34 @@ def test_leaks_are_those_of_brute_force(spark, most):
     assert report.count() == len(asked)
 
 
+def grown(words_so_far, n, rng, inside):
+    """n more words whose runs fall into the first of 16 fragments, or outside of it."""
+    out = list(words_so_far)
+    while n:
+        made = [f"w{rng.randrange(10**9)}" for _ in range(64)]
+        hashed, owner = batch_runs([" ".join([*out[-4:], w]) for w in made])
+        fits = [made[k] for k, h in zip(owner, hashed, strict=True) if (int(h) >> 48 < 4096) == inside] if len(out) > 3 else made
+        out += fits[:1]
+        n -= bool(fits)
+    return out
+
+
+def test_pairs_whose_rare_runs_and_likeness_lie_in_different_fragments(spark):
+    rng = random.Random(2)
+    common, texts = grown([], 18, rng, False), []
+    for _ in range(8):
+        rare = grown(common, 6, rng, True)  # shared by two texts only, in a fragment where they are unlike
+        texts += [" ".join(grown(rare, k, rng, True)) for k in (10, rng.randint(8, 11))]
+    frame = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, kind int, text string").repartition(3)
+    sets = [runs(t) for t in texts]
+    wanted = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if like(sets[a], sets[b]) >= 0.5}
+    pairs, members = vertical.similar_texts(frame, 0.5, fragments=16)
+    assert {tuple(r) for r in neardup.all_pairs(pairs, members).collect()} == wanted and len(wanted) > 3
+    sides = frame.withColumn("kind", (frame.id % 2).cast("int"))
+    pairs, members = vertical.similar_texts(sides, 0.5, cross=True, fragments=16)
+    assert {tuple(r) for r in neardup.all_pairs(pairs, members, within=False).collect()} == wanted
+
+
 def test_keys_spread_evenly():
     keys = vertical.even_keys(16, 8)
     places = [vertical._mur(k) % 8 for k in keys]
