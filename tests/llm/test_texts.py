@@ -232,6 +232,12 @@ def test_copies_of_a_sound_record_are_no_template(spark, data):
     assert [found.get(k) for k in range(900040, 900043)] == ["empty"] * 3
 
 
+def test_an_opening_without_a_like_lead_is_its_own_template(spark):
+    rows = [(1, "a b c d", [5, 6]), (2, "e f g h", [5, 6]), (3, "a b c x", [5, 7])]
+    found = defects._templates(spark.createDataFrame(rows, "opening_hash long, opening string, sign array<long>")).collect()
+    assert {tuple(r) for r in found} == {(1, 1), (2, 2), (3, 1)}
+
+
 def test_endings_on_held_out_sentences(data):
     rows = pd.read_parquet(f"{data}/train.parquet")
     splitter = sentences.fit(rows.article)
