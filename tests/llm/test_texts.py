@@ -238,6 +238,16 @@ def test_an_opening_without_a_like_lead_is_its_own_template(spark):
     assert {tuple(r) for r in found} == {(1, 1), (2, 2), (3, 1)}
 
 
+def test_short_sentences_copied_beside_long_ones(data):
+    rows = pd.read_parquet(f"{data}/train.parquet")
+    judge = defects.Judge(list(rows.article), list(rows.summary))
+    short = ["Bệnh viện đã mở cửa lại.", "Người dân được tiêm miễn phí.", "Lịch khám không có thay đổi."]
+    long = [" ".join(f"{w}{k}x{j}" for j in range(40)).capitalize() + "." for k, w in enumerate(("tin", "bài", "ý"))]
+    article = " ".join(t for pair in zip(long, short, strict=True) for t in pair)
+    assert len(judge.splitter.sentences(article)) == 6
+    assert judge.judge(article, " ".join(short), set(article.lower().split()), set(" ".join(short).lower().split())) == "copied"
+
+
 def test_endings_on_held_out_sentences(data):
     rows = pd.read_parquet(f"{data}/train.parquet")
     splitter = sentences.fit(rows.article)
