@@ -248,6 +248,17 @@ def test_short_sentences_copied_beside_long_ones(data):
     assert judge.judge(article, " ".join(short), set(article.lower().split()), set(" ".join(short).lower().split())) == "copied"
 
 
+@pytest.mark.parametrize("text,wanted", [
+    ("Cảm ơn bạn đã gửi bài viết rất dài và nhiều thông tin hữu ích này cho trợ lý đọc trước. Tôi không thể tóm tắt bài viết này.", True),
+    ("Bệnh viện huyện cho biết nhiều người dân đã tới khám từ sáng sớm trong ngày đầu tuần. “Tôi không thể chờ lâu hơn”, một người nói.", False),
+    ("I am sorry, but I cannot summarize this.", True), ("“I cannot summarize this.”", True), ("", False),
+])
+def test_declining_anywhere_but_in_quotation(text, wanted):
+    from corpusloom.llm.plain import WORD
+
+    assert defects.declining(text, WORD.findall(text.lower())) is wanted
+
+
 def test_endings_on_held_out_sentences(data):
     rows = pd.read_parquet(f"{data}/train.parquet")
     splitter = sentences.fit(rows.article)
