@@ -36,6 +36,7 @@ _OPEN, _CLOSE = "“«「『‘", "”»」』’"
 _PAIRS = dict(zip(_CLOSE, _OPEN, strict=True))
 _MARK = re.compile(r"(?:[。！？｡]+|[.!?…]+(?![0-9a-zà-öø-ÿ/@]))(?:[\"”’»」』)\]）]|[   ]»)*")
 _THAI_SPACE = re.compile("(?<=[฀-๿])​* +​*(?=[฀-๿])")
+_THAI = re.compile("[฀-๿]")
 _QUOTES = re.compile('["“”«»「」『』]')
 _HIDDEN = re.compile("[​­͏]")
 _LINE = re.compile(r"[^\r\n\x0b\x0c\x1c-\x1e\x85  ]+")
@@ -167,7 +168,7 @@ def candidates(line: str) -> Iterator[tuple[int, int, tuple]]:
                 ahead = "word"
         short = last.lower() if len(last) <= 4 and kind not in ("number", "han", "kana", "thai") else ""
         yield end, to, (dots, kind, ahead, short, place, gap, nxt)
-    if "฀" <= max(line) and any("฀" <= c < "຀" for c in line):
+    if _THAI.search(line):
         for match in _THAI_SPACE.finditer(line):
             place = "in" if any(a < match.start() < b for a, b in spans) else "none"
             yield match.start(), match.end(), ("space", "thai", "", "", place, "gap", "thai")

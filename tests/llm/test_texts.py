@@ -4,6 +4,7 @@ import unicodedata
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import areas, defects, levels, lookalikes, packing, sentences
 from corpusloom.llm.plain import differs, plain_form, skeleton
@@ -170,10 +171,6 @@ def test_area_classifiers_on_held_out_sentences(data):
 
 DEFECTS = {
     "empty": ["", None, "  ", "N/A", "Tóm tắt:", "[không có tóm tắt]", "<br/>", "...", "—"],
-    "refusal": [
-        "Xin lỗi, tôi không thể tóm tắt nội dung y tế trên.", "I'm sorry, but I must decline to condense this article because it lacks context.",
-        "là một mô hình ngôn ngữ, tôi từ chối viết bản tóm tắt cho văn bản bạn gửi",
-    ],
     "wrong_language": [
         "With the second biopsy unexpected since late March, pregnant women in Eastmere blame long travel times and the nurse expects more cases.",
         "白鹭洲出现早餐计划，涉及184名护士，郗望舒医生建议多喝水。",
@@ -232,10 +229,41 @@ def test_copies_of_a_sound_record_are_no_template(spark, data):
     assert [found.get(k) for k in range(900040, 900043)] == ["empty"] * 3
 
 
-def test_an_opening_without_a_like_lead_is_its_own_template(spark):
-    rows = [(1, "a b c d", [5, 6]), (2, "e f g h", [5, 6]), (3, "a b c x", [5, 7])]
-    found = defects._templates(spark.createDataFrame(rows, "opening_hash long, opening string, sign array<long>")).collect()
-    assert {tuple(r) for r in found} == {(1, 1), (2, 2), (3, 1)}
+def test_openings_behind_an_unlike_lead_are_clustered(spark):
+    rows = [(1, "a b c d", [5, 6]), (2, "e f g h", [5, 6]), (3, "a b c x", [5, 7]), (4, "e f g y", [5, 8]), (5, "p q", [9])]
+    found = {}
+    for r in defects.opening_clusters(spark.createDataFrame(rows, "opening_hash long, opening string, sign array<long>")).collect():
+        found.setdefault(r["cluster"], set()).add(r["opening_hash"])
+    assert {1, 3} in found.values() and {2, 4} in found.values()
+    assert not any(len(x & {1, 3}) and len(x & {2, 4}) for x in found.values()) and 5 not in set().union(*found.values())
+
+
+OPENERS = ["Xin lỗi,", "Rất tiếc,", "Thành thật xin lỗi bạn,"]
+OBJECTS = ["bài viết này", "nội dung trên", "văn bản bạn gửi"]
+
+
+def refusals(spark, data):
+    """Refusals of unlike articles, the same refusal of copies of one article, and reports of a refusal."""
+    data = data.replace("sf0.001", "sf0.01")  # more summaries, to tell what is typical
+    base = spark.read.parquet(f"{data}/train.parquet").select("pair_id", "article", "summary")
+    rows = base.orderBy("pair_id").collect()
+    prose = list(dict.fromkeys(r["article"] for r in rows if r["article"] and len(r["article"]) > 300 and r["article"].count("đ") > 8))
+    say = [f"{a} tôi không thể tóm tắt {b}." for a in OPENERS for b in OBJECTS]
+    more = [(900000 + k, text, say[k % len(say)]) for k, text in enumerate(prose[:40])]
+    more += [(910000 + k, prose[-1], "Bệnh nhân từ chối mổ, bác sĩ xin lỗi vì chưa thể hẹn lại lịch khám cho người nhà.") for k in range(20)]
+    return base.unionByName(spark.createDataFrame(more, "pair_id long, article string, summary string"))
+
+
+def test_refusals_are_found_by_their_clusters(spark, data, monkeypatch):
+    frame = refusals(spark, data)
+    found = {r["pair_id"]: r["defect"] for r in defects.defective_pairs(frame).filter("pair_id >= 900000").collect()}
+    assert sum(found.get(900000 + k) == "refusal" for k in range(40)) >= 25
+    assert not [k for k in found if k >= 910000]
+    none = lambda openings: openings.select("opening_hash", F.lit(0).cast("long").alias("cluster")).limit(0)
+    monkeypatch.setattr(defects, "opening_clusters", none)
+    monkeypatch.setattr(defects, "TEMPLATE", 41)  # nor by openings that are equal
+    without = {r["pair_id"] for r in defects.defective_pairs(frame).filter("defect = 'refusal'").collect()}
+    assert not without
 
 
 def test_short_sentences_copied_beside_long_ones(data):
@@ -245,18 +273,7 @@ def test_short_sentences_copied_beside_long_ones(data):
     long = [" ".join(f"{w}{k}x{j}" for j in range(40)).capitalize() + "." for k, w in enumerate(("tin", "bài", "ý"))]
     article = " ".join(t for pair in zip(long, short, strict=True) for t in pair)
     assert len(judge.splitter.sentences(article)) == 6
-    assert judge.judge(article, " ".join(short), set(article.lower().split()), set(" ".join(short).lower().split())) == "copied"
-
-
-@pytest.mark.parametrize("text,wanted", [
-    ("Cảm ơn bạn đã gửi bài viết rất dài và nhiều thông tin hữu ích này cho trợ lý đọc trước. Tôi không thể tóm tắt bài viết này.", True),
-    ("Bệnh viện huyện cho biết nhiều người dân đã tới khám từ sáng sớm trong ngày đầu tuần. “Tôi không thể chờ lâu hơn”, một người nói.", False),
-    ("I am sorry, but I cannot summarize this.", True), ("“I cannot summarize this.”", True), ("", False),
-])
-def test_declining_anywhere_but_in_quotation(text, wanted):
-    from corpusloom.llm.plain import WORD
-
-    assert defects.declining(text, WORD.findall(text.lower())) is wanted
+    assert judge.judge(article, " ".join(short))[0] == "copied"
 
 
 def test_endings_on_held_out_sentences(data):
