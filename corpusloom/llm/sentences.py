@@ -129,6 +129,12 @@ def candidates(line: str) -> Iterator[tuple[int, int, tuple]]:
     length = len(line)
     for match in _MARK.finditer(line):
         begin, end = match.span()
+        if end - begin == 1 and not spans and line[begin] == "." and line[end : end + 1] == " " and line[end + 1 : end + 2].isupper():
+            # by far the most frequent case, told at once: a plain small word, a full stop, a space, a capital
+            last = line[line.rfind(" ", 0, begin) + 1 : begin]
+            if 1 < len(last) <= 24 and last.isalpha() and last.islower() and last not in _WITHIN and _kind(last[-1]) == "lower":
+                yield end, end + 1, (".", f"small{min(len(last), 5)}", "", last if len(last) <= 4 else "", "none", "gap", "upper")
+                continue
         place, comma = "none", ""
         for a, b in spans:
             if a < begin and b >= end:
@@ -234,11 +240,11 @@ class Boundaries:
             found = self.known[features] = self.bias + sum(get(n, 0.0) for n in active(features)) > 0
         return found
 
-    def units(self, text: str | None) -> list[tuple[int, int]]:
-        """(start, end) of the sentence units of a text."""
+    def units(self, text: str | None, plain: bool = False) -> list[tuple[int, int]]:
+        """(start, end) of the sentence units of a text; plain: it is in plain form already."""
         if not text:
             return []
-        seen, out = view(text), []
+        seen, out = text if plain else view(text), []
         for found in _LINE.finditer(seen):
             base, line = found.start(), found[0]
             begin = 0
@@ -254,8 +260,8 @@ class Boundaries:
                 begin = max(begin, to)
         return out
 
-    def sentences(self, text: str | None) -> list[str]:
-        return [text[a:b] for a, b in self.units(text)]
+    def sentences(self, text: str | None, plain: bool = False) -> list[str]:
+        return [text[a:b] for a, b in self.units(text, plain)]
 
 
 def fit(texts: Iterable[str | None], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> Boundaries:
