@@ -67,12 +67,16 @@ def _held_out(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: _table(spark, folder, name) for name in ("validation", "test")}
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.cross_split_overlaps(_table(spark, folder, "train"), _held_out(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).filter("kind <> 'short'").select("split_name", "train_id", "eval_id")
+
+
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap.overlap_report(p3_found(spark, folder), _held_out(spark, folder))
+    return overlap.overlap_report(_overlaps(spark, folder), _held_out(spark, folder))
 
 
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +88,7 @@ def p7_filling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+    return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,24 +1,29 @@
-"""Similarity join by vertical partitioning of the global n-gram order.
+"""Similarity join by vertical partitioning of the n-gram order.
 
 All pairs of texts whose sets of five-word runs have a Jaccard likeness of at least ``threshold``, exactly:
 
-1. Every text becomes its set of run hashes. The global order of runs (rare first) is cut into ``fragments``;
-   each fragment holds the part of every set that falls into it, packed by blocks of texts.
-2. Pass B counts, in each fragment, how many texts share each run. Every part has a prefix of its own: its rarest
-   ``n - ceil(t*n) + 1`` runs, n being the part's size, filled up to a whole rarity class. If a pair has likeness t,
-   then in some fragment its parts have likeness t as well, and so share a run inside both parts' prefixes; a pair
-   is reported there if the shared prefix runs plus the smaller of the two tails can reach that, and then the
-   part's exact overlap does. No partner is capped. Parts of short texts are alike by a single run, so these
-   carry marks of all their runs: a mark that only one of two texts has is a run that they do not share, and pairs
-   that cannot reach the threshold by that bound are left out.
-3. Pass C counts the exact overlap of the reported pairs in every fragment; the partial overlaps are summed
-   per pair and give the exact likeness.
+1. Every text becomes its set of run hashes. The order of runs is that of their hashes; it is cut into ``fragments``
+   of equal width, and each fragment holds the part of every set that falls into it, packed by blocks of texts.
+2. Pass B joins the parts within each fragment. If a pair has likeness t, then in some fragment its parts have
+   likeness t as well. There the runs are ordered by the number of parts that hold them, rare first, and every part
+   has a prefix: its rarest ``n - ceil(t*n) + 1`` runs, n being the part's size, filled up to a whole rarity class. Parts of
+   likeness t share a run inside both prefixes; a pair is reported if the shared prefix runs plus the smaller of the
+   two tails can reach that, and then the parts' exact overlap does. No partner is capped. Parts of short texts are
+   alike by a single run, so these carry marks of all their runs: a mark that only one of two texts has is a run
+   that they do not share, and pairs that cannot reach the threshold by that bound are left out.
+3. Pass C counts the exact overlap of the reported pairs in every fragment where both have runs; the partial overlaps
+   are summed per pair and give the exact likeness.
+
+The number of fragments is a parameter and does not grow with the rows, as a part must keep some runs to tell texts
+apart. What grows with the rows are the ``slots`` of a fragment, one task each: a part goes to the slots of the first
+``n - ceil(t*n) + 1`` of its runs, hot runs (by a bounded sample) last and otherwise by hash. Parts of likeness t have
+one of those in common and so meet in a slot; a part is sent at most that many times, however many slots there are,
+and no slot is made heavy by a run that many texts share. One slot of every fragment is a text's home, where pass C
+finds it; a pair of two homes carries the one part to the other.
 
 Texts with equal sets are one class: one member is compared, the rest are listed as members, so a large group
-of copies costs its size and not its square. Fragments are cut by hash, so a frequent source or key does not
-make a heavy fragment. Hashes are of 64 bits, of which the fragment keeps 32 besides its own number; a clash
-could only add to an overlap of a pair that already shares a third of its runs. The more fragments there are for the
-runs of a text, the larger a share of them its prefixes take.
+of copies costs its size and not its square. Hashes are of 64 bits, of which a fragment keeps 32 besides its own number; a
+clash could only add to an overlap of a pair that already shares a third of its runs.
 
 Null and empty texts and texts under five words have no runs and are in no pair, nor are rows with a null id. Repeated ids are treated as
 separate rows. Columns other than the named ones are ignored.
@@ -44,8 +49,13 @@ _CLASSES = 40
 _CHUNK = 500_000  # pairs looked at together
 _MARKS = 128  # bits a text
 _SHORT = 96  # runs of a text that marks are of use for
+FRAGMENTS = 16
+SLOT_TEXTS = 400_000  # texts of a slot, about
+HOT_ROWS = 3000  # texts that hot runs are told by
+_PROBE, _HOME = 1, 2
+_KIND_BITS = 8  # field << 4 | split; split 0 is the left side of a join of two sides
 
-_ENTRY = "frag int, block long, docs int, idx binary, runs binary, ids binary, sizes binary, prints binary, marks binary"
+_ENTRY = "key int, block long, idx binary, runs binary, texts binary, roles binary, sizes binary, marks binary, ids binary, prints binary, held binary, many binary, tasks binary"
 
 
 def _mur(key: int) -> int:
@@ -76,9 +86,14 @@ def even_keys(n: int, partitions: int) -> list[int]:
     return out
 
 
-def _entries(keys: list[int]):
-    """Texts to packed fragment entries. Columns: id, kind (side + 2 * field), text; a block is of one kind."""
-    fragments = len(keys)
+def _entries(keys: np.ndarray, slots: int, threshold: float, hot: np.ndarray):
+    """Texts to packed entries, one for each fragment, slot and block. Columns: id, kind, text; a block is of one kind.
+
+    An entry holds its postings (idx, runs), the texts that have any with their roles, and for short texts their sizes
+    and marks. The entry of a block's first fragment and home slot tells of the whole block as well: ids, sizes, prints
+    and the fragments that each text has runs in.
+    """
+    fragments = len(keys) // slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,43 +105,70 @@ def _entries(keys: list[int]):
                 whole = batch if (kinds == kind).all() else batch.filter(pa.array(kinds == kind))
                 for at in range(0, whole.num_rows, BLOCK):
                     piece = whole.slice(at, BLOCK)
-                    block = (((part << 20) + number) << 2) + kind
+                    block = (((part << 20) + number) << _KIND_BITS) + kind
                     number += 1
                     yield pack(piece, block, kind)
             tidy()
 
     def pack(piece: pa.RecordBatch, block: int, kind: int) -> pa.RecordBatch:
         runs, owner = batch_runs(piece.column(2).to_pylist())
-        runs = runs ^ np.uint64((kind >> 1) * 0x9E3779B97F4A7C15)
-        n = np.bincount(owner, minlength=piece.num_rows).astype(np.uint32)
-        owner = owner.astype(np.uint16)
-        prints = np.zeros(piece.num_rows, np.uint64)
+        runs = runs ^ np.uint64((kind >> 4) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        count = piece.num_rows
+        n = np.bincount(owner, minlength=count).astype(np.uint32)
+        prints = np.zeros(count, np.uint64)
+        order = np.argsort(owner, kind="stable")
         if len(runs):
-            order = np.argsort(owner, kind="stable")
             some = np.flatnonzero(n)
             prints[some] = np.add.reduceat((runs * np.uint64(0xD6E8FEB86659FD93))[order], np.cumsum(n, dtype=np.int64)[some] - n[some])
         marks = None
         if np.median(n) <= _SHORT:
-            flags = np.zeros((piece.num_rows, _MARKS), bool)
+            flags = np.zeros((count, _MARKS), bool)
             flags[owner, ((runs >> np.uint64(32)) % np.uint64(_MARKS)).astype(np.int64)] = True
-            marks = np.packbits(flags, axis=1).tobytes()
-        place = ((runs >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.uint16)
+            marks = np.packbits(flags, axis=1)
+        runs, owner = runs[order], owner[order]
+        place = ((runs >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.int64)
+        held = np.zeros((count, -(-fragments // 64) * 64), bool)
+        held[owner, place] = True
+        # one row for each fragment and text: a part, its postings side by side
         order = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[order], np.arange(fragments + 1))
-        owner, low = owner[order], (runs[order] >> np.uint64(16)).astype(np.uint32)
+        runs, owner, place = runs[order], owner[order], place[order]
+        begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])))) if len(runs) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(runs)))
+        home = (block >> _KIND_BITS) % slots
+        goes, copy, role = _routes(runs, begin, size, home, slots, threshold, hot)
+        slot = place[begin][copy] * slots + goes
+        order = np.argsort(slot, kind="stable")  # within a slot texts stay in order
+        slot, copy, role = slot[order], copy[order], role[order]
+        length = size[copy]
+        take = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin[copy], length)
+        text = owner[begin][copy]
+        low = (runs[take] >> np.uint64(16)).astype(np.uint32)
+        idx = np.repeat(text, length).astype(np.uint16)
+        own = np.unique(np.append(slot, home))  # the first fragment's home entry is always there
+        a, b = np.searchsorted(slot, own), np.searchsorted(slot, own, side="right")
+        ends = np.concatenate(([0], np.cumsum(length)))
+        first = own == home
+        cut = lambda x, lo, hi: [x[i:j].tobytes() for i, j in zip(lo, hi, strict=True)]
         ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        none = [None] * (fragments - 1)
+        once = lambda x: [x.tobytes() if f else None for f in first]
+        few = [None] * len(own)
+        probes = (role & _PROBE) > 0
+        by_text = np.argsort(text[probes], kind="stable")
         return pa.RecordBatch.from_pydict(
             {
-                "frag": keys,
-                "block": [block] * fragments,
-                "docs": [piece.num_rows] * fragments,
-                "idx": [owner[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
-                "runs": [low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
-                "ids": [ids.tobytes(), *none],
-                "sizes": [n.tobytes(), *([n.tobytes()] * (fragments - 1) if marks else none)],
-                "prints": [prints.tobytes(), *none],
-                "marks": [marks] * fragments,
+                "key": keys[own],
+                "block": [block] * len(own),
+                "idx": cut(idx, ends[a], ends[b]),
+                "runs": cut(low, ends[a], ends[b]),
+                "texts": cut(text.astype(np.uint16), a, b),
+                "roles": few if slots == 1 else cut(role, a, b),
+                "sizes": few if marks is None else cut(n[text], a, b),
+                "marks": few if marks is None else cut(marks[text], a, b),
+                "ids": once(ids),
+                "prints": once(np.stack((prints, n.astype(np.uint64)))),
+                "held": once(np.packbits(held, axis=1, bitorder="little")),
+                "many": once(np.bincount(text[probes], minlength=count).astype(np.int32)),
+                "tasks": once(slot[probes][by_text].astype(np.int32)),
             },
             schema=_ENTRY_SCHEMA,
         )
@@ -134,29 +176,65 @@ def _entries(keys: list[int]):
     return run
 
 
+def _routes(
+    runs: np.ndarray, begin: np.ndarray, size: np.ndarray, home: int, slots: int, threshold: float, hot: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, part, role) of every copy of every part; runs: postings part by part."""
+    every = np.arange(len(begin))
+    if slots == 1:
+        return np.zeros(len(begin), np.int64), every, np.full(len(begin), _PROBE | _HOME, np.uint8)
+    part = np.repeat(every, size)
+    late = np.zeros(len(runs), bool)
+    if len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, runs), len(hot) - 1)] == runs
+    order = np.lexsort((runs, late, part))
+    place = np.arange(len(runs)) - np.repeat(begin, size)
+    prefix = place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[part]
+    chosen = order[prefix]
+    mixed = ((runs[chosen] >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    key = np.unique(part[prefix] * slots + (mixed % np.uint64(slots)).astype(np.int64))
+    both = np.concatenate((key * 2, (every * slots + home) * 2 + 1))
+    both.sort()
+    key, is_home = both >> 1, (both & 1).astype(np.uint8)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    role = np.bitwise_or.reduceat(np.where(is_home, _HOME, _PROBE).astype(np.uint8), first) if len(key) else np.zeros(0, np.uint8)
+    return key[first] % slots, key[first] // slots, role
+
+
 _ENTRY_SCHEMA = pa.schema(
-    [("frag", pa.int32()), ("block", pa.int64()), ("docs", pa.int32())]
-    + [(k, pa.binary()) for k in ("idx", "runs", "ids", "sizes", "prints", "marks")]
+    [("key", pa.int32()), ("block", pa.int64())]
+    + [(k, pa.binary()) for k in ("idx", "runs", "texts", "roles", "sizes", "marks", "ids", "prints", "held", "many", "tasks")]
 )
 
 
 class _Part:
-    """A fragment's entries: texts numbered through, runs sorted with the texts that hold them."""
-
-    def __init__(self, blocks: np.ndarray, docs: np.ndarray, idx: list, runs: list):
-        order = np.argsort(blocks)
-        self.blocks, self.docs = blocks[order], docs[order]
-        self.base = np.cumsum(self.docs) - self.docs
-        self.total = int(self.docs.sum())
-        self.key = np.empty(sum(len(x) for x in runs) // 4, np.uint64)
-        at = 0
-        for i, base in zip(order, self.base, strict=True):
-            held = np.frombuffer(runs[i], np.uint32)
-            own = self.key[at : at + len(held)]
-            own[:] = held
-            own <<= np.uint64(32)
-            own |= np.frombuffer(idx[i], np.uint16).astype(np.uint64) + np.uint64(base)
-            at += len(held)
+    """A slot's entries: those of its texts that have the role, numbered through, and their postings."""
+
+    def __init__(self, entries: pa.Table, role: int):
+        block = entries.column("block").to_numpy(zero_copy_only=False)
+        self.order = np.argsort(block, kind="stable")
+        columns = {k: entries.column(k) for k in ("idx", "runs", "texts", "roles")}
+        docs, keys, self.kept, total = [], [], [], 0
+        for i in self.order.tolist():
+            texts = np.frombuffer(columns["texts"][i].as_buffer(), np.uint16)
+            use = slice(None)
+            if (roles := columns["roles"][i]).is_valid:
+                use = np.flatnonzero(np.frombuffer(roles.as_buffer(), np.uint8) & role)
+            self.kept.append(use)
+            own = texts[use].astype(np.int64)
+            idx = np.frombuffer(columns["idx"][i].as_buffer(), np.uint16)
+            runs = np.frombuffer(columns["runs"][i].as_buffer(), np.uint32)
+            at = np.full(1 << 16, -1, np.int64) if len(own) else np.zeros(0, np.int64)
+            if len(own):
+                at[own] = np.arange(total, total + len(own))
+                number = at[idx]
+                key = (runs.astype(np.uint64) << np.uint64(32)) | np.maximum(number, 0).astype(np.uint64)
+                keys.append(key if isinstance(use, slice) else key[number >= 0])
+                docs.append((int(block[i]) << 16) | own)
+            total += len(own)
+        self.docs = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        self.key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.total = total
 
     def by_run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, begin, length): owners sorted by run, and where each run's group begins and how long it is."""
@@ -186,12 +264,11 @@ class _Part:
         return self.key, np.searchsorted(self.key, np.arange(self.total + 1, dtype=np.uint64) << np.uint64(32))
 
     def number(self, docs: np.ndarray) -> np.ndarray:
-        """Global text numbers (block << 16 | place) to places here."""
-        return self.base[np.searchsorted(self.blocks, docs >> 16)] + (docs & 0xFFFF)
-
-    def named(self, own: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.base, own, side="right") - 1
-        return (self.blocks[at] << 16) | (own - self.base[at])
+        """Global text numbers (block << 16 | place) to places here; -1 for texts that are not here."""
+        if not self.total:
+            return np.full(len(docs), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.docs, docs), self.total - 1)
+        return np.where(self.docs[at] == docs, at, -1)
 
 
 def _classes(owner: np.ndarray, begin: np.ndarray, length: np.ndarray, side: np.ndarray | None) -> np.ndarray:
@@ -207,39 +284,28 @@ def _classes(owner: np.ndarray, begin: np.ndarray, length: np.ndarray, side: np.
     return np.repeat(cls, length)
 
 
-def _rows(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list, list]:
-    return (
-        table.column("block").to_numpy(zero_copy_only=False),
-        table.column("docs").to_numpy(zero_copy_only=False).astype(np.int64),
-        [x.as_buffer() for x in table.column("idx")],
-        [x.as_buffer() for x in table.column("runs")],
-    )
-
-
 def _side(part: _Part) -> np.ndarray:
-    return np.repeat((part.blocks & 1).astype(bool), part.docs)
+    return ((part.docs >> 16) & 15) > 0
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text with runs, from the entries that hold a block's ids."""
+    """One row for each text with runs, from the entries that tell of whole blocks."""
     for batch in batches:
-        for row in batch.filter(pc.is_valid(batch.column("ids"))).select(["block", "ids", "sizes", "prints"]).to_pylist():
-            n = np.frombuffer(row["sizes"], np.uint32)
+        for row in batch.filter(pc.is_valid(batch.column("ids"))).select(["block", "ids", "prints", "held", "many", "tasks"]).to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            prints, n = np.frombuffer(row["prints"], np.int64).reshape(2, -1)
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc": (row["block"] << 16) + some,
-                    "id": np.frombuffer(row["ids"], np.int64)[some],
-                    "n": n[some].astype(np.int64),
-                    "print": np.frombuffer(row["prints"], np.int64)[some],
-                },
-                schema=_TEXT_SCHEMA,
-            )
-
-
-_TEXT_SCHEMA = pa.schema([(k, pa.int64()) for k in ("doc", "id", "n", "print")])
+            held = np.frombuffer(row["held"], np.int64).reshape(len(ids), -1)[some]
+            words = pa.FixedSizeListArray.from_arrays(pa.array(held.ravel()), held.shape[1]).cast(pa.list_(pa.int64()))
+            columns = [pa.array(x) for x in ((row["block"] << 16) + some, ids[some], n[some], prints[some])]
+            many = np.frombuffer(row["many"], np.int32)[some]  # texts without runs have none
+            tasks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(np.frombuffer(row["tasks"], np.int32)))
+            yield pa.RecordBatch.from_arrays([*columns, words, tasks], schema=_TEXT_SCHEMA)
+
+
+_TEXT_SCHEMA = pa.schema([(k, pa.int64()) for k in ("doc", "id", "n", "print")] + [("held", pa.list_(pa.int64())), ("tasks", pa.list_(pa.int32()))])
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_PART_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
+_PART_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("frag", pa.int32()), ("shared", pa.int64()), ("part", pa.binary())])
 
 
 def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -266,12 +332,14 @@ def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray)
 def _marked(part: _Part, entries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(n, marks) of the texts; n is -1 where a block has no marks."""
     n, marks = np.full(part.total, -1, np.int64), np.zeros((part.total, _MARKS // 64), np.uint64)
-    for block, sizes, own in zip(*(entries.column(k).to_pylist() for k in ("block", "sizes", "marks")), strict=True):
-        if own is not None:
-            at = part.base[np.searchsorted(part.blocks, block)]
-            held = np.frombuffer(sizes, np.uint32)
+    sizes, own = entries.column("sizes"), entries.column("marks")
+    blocks = np.searchsorted(part.docs >> 16, entries.column("block").to_numpy(zero_copy_only=False))
+    for i, use in zip(part.order.tolist(), part.kept, strict=True):
+        if own[i].is_valid:
+            held = np.frombuffer(sizes[i].as_buffer(), np.uint32)[use]
+            at = blocks[i]
             n[at : at + len(held)] = held
-            marks[at : at + len(held)] = np.frombuffer(own, np.uint64).reshape(len(held), -1)
+            marks[at : at + len(held)] = np.frombuffer(own[i].as_buffer(), np.uint64).reshape(-1, _MARKS // 64)[use]
     return n, marks
 
 
@@ -291,7 +359,7 @@ def _pass_b(cross: bool, threshold: float):
         if not entries.num_rows:
             return _PAIR_SCHEMA.empty_table()
         tidy()
-        part = _Part(*_rows(entries))
+        part = _Part(entries, _PROBE)
         side = _side(part) if cross else None
         owner, begin, length = part.by_run()
         cls = _classes(owner, begin, length, side)
@@ -301,8 +369,9 @@ def _pass_b(cross: bool, threshold: float):
         size = upto[:, -1].astype(np.int64)
         prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
         cut = (upto >= prefix[:, None]).argmax(1).astype(np.uint8)
-        for gone in copies.column("gone"):
-            cut[part.number(gone.values.to_numpy(zero_copy_only=False))] = 255
+        for block, gone in zip(copies.column("block").to_pylist(), copies.column("gone"), strict=True):
+            own = part.number((block << 16) | np.frombuffer(gone.as_buffer(), np.uint16).astype(np.int64))
+            cut[own[own >= 0]] = 255
         # entries inside prefixes; 255 marks texts that take no part (copies of another text)
         run_no = np.repeat(np.arange(len(length), dtype=np.int32), length)
         keep = (cls > 0) & (cls <= cut[owner]) & (cut[owner] < 255)
@@ -351,68 +420,117 @@ def _pass_b(cross: bool, threshold: float):
         some = _within_reach(*_marked(part, entries), a, b, need)
         a, b = a[some], b[some]
         ok = _overlaps(*part.by_text(), a, b) >= need * (size[a] + size[b]) - 1e-9
-        pairs = (part.named(a[ok]), part.named(b[ok]))
+        pairs = (part.docs[a[ok]], part.docs[b[ok]])
         return pa.Table.from_arrays([pa.array(x) for x in pairs], schema=_PAIR_SCHEMA)
 
     return run
 
 
 def _pass_c(entries: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Partial overlaps of the pairs in this fragment."""
+    """Partial overlaps of the pairs in this slot; where only the first text is at home here, its part goes on."""
     if not entries.num_rows or not pairs.num_rows:
         return _PART_SCHEMA.empty_table()
     tidy()
-    part = _Part(*_rows(entries))
+    part = _Part(entries, _HOME)
     held, ends = part.by_text()
     a, b = (pairs.column(k).to_numpy() for k in ("a", "b"))
-    shared = _overlaps(held, ends, part.number(a), part.number(b))
-    some = shared > 0
-    return pa.Table.from_arrays([pa.array(x[some]) for x in (a, b, shared)], schema=_PART_SCHEMA)
+    frag = pairs.column("frag").to_numpy()
+    x, y = part.number(a), part.number(b)
+    both = (x >= 0) & (y >= 0)
+    shared = np.zeros(len(a), np.int64)
+    shared[both] = _overlaps(held, ends, x[both], y[both])
+    some = (shared > 0) | (~both & (x >= 0))
+    low = (held & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    parts = [None if done else low[ends[i] : ends[i + 1]].tobytes() for i, done in zip(x[some].tolist(), both[some].tolist(), strict=True)]
+    columns = [pa.array(v[some]) for v in (a, b, frag.astype(np.int32), shared)]
+    return pa.Table.from_arrays([*columns, pa.array(parts, pa.binary())], schema=_PART_SCHEMA)
+
+
+def _pass_d(entries: pa.Table, carried: pa.Table) -> pa.Table:
+    """Partial overlaps of the parts that were carried here, to the home of the second text."""
+    if not entries.num_rows or not carried.num_rows:
+        return _PART_SCHEMA.empty_table()
+    part = _Part(entries, _HOME)
+    held, ends = part.by_text()
+    low = (held & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    y = part.number(carried.column("b").to_numpy())
+    shared = np.zeros(carried.num_rows, np.int64)
+    for k, (i, own) in enumerate(zip(y.tolist(), carried.column("part"), strict=True)):
+        if i >= 0:
+            shared[k] = len(np.intersect1d(low[ends[i] : ends[i + 1]], np.frombuffer(own.as_buffer(), np.uint32)))
+    return pa.Table.from_arrays(
+        [carried.column("a").combine_chunks(), carried.column("b").combine_chunks(), carried.column("frag").combine_chunks(), pa.array(shared), pa.nulls(len(shared), pa.binary())],
+        schema=_PART_SCHEMA,
+    )
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of copies to the bytes of their places."""
+    for batch in batches:
+        places = [np.sort(np.array(x, np.int64) & 0xFFFF).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.binary())], names=["key", "block", "gone"])
+
+
+def hot_runs(texts: DataFrame, rows: int = HOT_ROWS) -> np.ndarray:
+    """Runs that several of a bounded sample of texts hold; they only decide where parts meet, not what is found."""
+    sample = [r["text"] for r in texts.filter("id is not null").orderBy(F.xxhash64("id")).limit(rows).select("text").collect()]
+    runs, count = np.unique(batch_runs(sample)[0], return_counts=True)
+    return runs[count > 2]
 
 
 def similar_texts(
-    texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int | None = None, rows: int | None = None
+    texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int = FRAGMENTS, rows: int | None = None, slots: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts of at least ``threshold`` likeness.
 
-    texts: id BIGINT, kind INT, text STRING. kind is side + 2 * field: texts of different fields are never
-    compared; with ``cross`` only texts of different sides (0, 1) are, else only side 0 is expected.
-    pairs: a, b, likeness DOUBLE between class representatives, side 0 first when ``cross``.
-    members: doc, rep, id for every text that has runs; rep is its class. Pairs inside a class are not listed.
-    fragments: one task each; if left out, one for every 40,000 texts, but 16 at least.
-    rows: number of texts, if known.
+    texts: id BIGINT, kind INT, text STRING. kind is split + 16 * field: texts of different fields are never
+    compared; with ``cross`` only texts of split 0 with those of other splits are, else only split 0 is expected.
+    pairs: a, b, likeness DOUBLE between class representatives, split 0 first when ``cross``.
+    members: doc, rep, id, kind for every text that has runs; rep is its class. Pairs inside a class are not listed.
+    rows: number of texts, if known. slots: tasks of a fragment; if left out, one for every ``SLOT_TEXTS`` texts.
     """
-    if fragments is None:
-        fragments = max(16, math.ceil((texts.count() if rows is None else rows) / 40_000))
     spark = ship(texts.sparkSession)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = even_keys(fragments, min(parts, fragments))
-    entries = texts.select(F.col("id").cast("long"), F.col("kind").cast("int"), F.col("text").cast("string"))
-    entries = entries.filter("id is not null")
-    entries = entries.mapInArrow(_entries(keys), _ENTRY).repartition(min(parts, fragments), "frag")
-    docs = entries.mapInArrow(_texts, "doc long, id long, n long, print long")
-    kind = F.shiftright("doc", 16).bitwiseAND(F.lit(3))
+    texts = texts.select(F.col("id").cast("long"), F.col("kind").cast("int"), F.col("text").cast("string")).filter("id is not null")
+    if slots is None:
+        slots = max(1, math.ceil((texts.count() if rows is None else rows) / SLOT_TEXTS))
+    hot = hot_runs(texts) if slots > 1 else np.zeros(0, np.uint64)
+    tasks = fragments * slots
+    parts = min(tasks, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * (1 if slots == 1 else slots))
+    keys = np.array(even_keys(tasks, parts), np.int32)
+    entries = texts.mapInArrow(_entries(keys, slots, threshold, hot), _ENTRY).repartition(parts, "key")
+    docs = entries.mapInArrow(_texts, "doc long, id long, n long, print long, held array<long>, tasks array<int>")
+    kind = F.shiftright("doc", 16).bitwiseAND(F.lit((1 << _KIND_BITS) - 1)).cast("int")
     classes = docs.groupBy("print", "n", kind.alias("kind")).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     copied = classes.filter("copies > 1").select("print", "n", "kind", "rep")
-    members = docs.withColumn("kind", kind).join(copied, ["print", "n", "kind"], "left")
-    members = members.select("doc", F.coalesce("rep", "doc").alias("rep"), "id", "n")
+    classed = docs.withColumn("kind", kind).join(copied, ["print", "n", "kind"], "left")
+    members = classed.select("doc", F.coalesce("rep", "doc").alias("rep"), "id", "kind")
+    # one row for each fragment and slot: fragments and slots are few
+    table = spark.createDataFrame([(k, k // slots, k % slots, int(key)) for k, key in enumerate(keys)], "task int, frag int, slot int, key int")
     gone = (
-        members.filter("doc <> rep").groupBy(F.shiftright("doc", 16).alias("block")).agg(F.collect_list("doc").alias("gone"))
-    )
-    every = F.explode(F.array(*map(F.lit, keys))).alias("frag")
+        classed.filter("doc <> rep").select("doc", F.explode("tasks").alias("task"))
+        .groupBy("task", F.shiftright("doc", 16).alias("block")).agg(F.collect_list("doc").alias("gone"))  # of one block, so few
+        .join(F.broadcast(table.select("task", "key")), "task").select("key", "block", "gone").mapInArrow(_gone, "key int, block long, gone binary")
+    )
     found = (
-        entries.groupBy("frag").cogroup(gone.select(every, "block", "gone").groupBy("frag"))
+        entries.groupBy("key").cogroup(gone.groupBy("key"))
         .applyInArrow(_pass_b(cross, threshold), "a long, b long").distinct()
     )
-    summed = (
-        entries.groupBy("frag").cogroup(found.select(every, "a", "b").groupBy("frag"))
-        .applyInArrow(_pass_c, "a long, b long, shared long")
-        .groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    )
-    size = docs.select("doc", "n")
+    size = docs.select("doc", "n", "held")
+    sized = found.join(size.toDF("a", "na", "ha"), "a").join(size.toDF("b", "nb", "hb"), "b")
+    # only the fragments in which both texts have runs
+    common = F.expr(f"filter(sequence(0, {fragments - 1}), f -> shiftright(ha[f div 64] & hb[f div 64], cast(f % 64 as int)) & 1 = 1)")
+    home = lambda c: F.pmod(F.shiftright(c, 16 + _KIND_BITS), F.lit(slots)).cast("int").alias("slot")
+    asked = sized.select("a", "b", home("a"), F.explode(common).alias("frag")).join(F.broadcast(table), ["frag", "slot"])
+    schema = "a long, b long, frag int, shared long, part binary"
+    counted = entries.groupBy("key").cogroup(asked.select("key", "a", "b", "frag").groupBy("key")).applyInArrow(_pass_c, schema)
+    if slots > 1:
+        carried = counted.filter("part is not null").withColumn("slot", home("b")).join(F.broadcast(table), ["frag", "slot"])
+        carried = carried.select("key", "a", "b", "frag", "part")
+        counted = counted.unionByName(entries.groupBy("key").cogroup(carried.groupBy("key")).applyInArrow(_pass_d, schema))
+    summed = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     pairs = (
-        summed.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+        sized.select("a", "b", "na", "nb").join(summed, ["a", "b"])
         .withColumn("likeness", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
         .filter(F.col("likeness") >= threshold - 1e-12).select("a", "b", "likeness")
     )
-    return pairs, members.select("doc", "rep", "id")
+    return pairs, members
