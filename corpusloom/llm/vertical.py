@@ -36,12 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sentences import sample_rows
 from corpusloom.llm.shingles import batch_runs, tidy
-from corpusloom.session import ship
+from corpusloom.session import checkpoint, ship
 
 BLOCK = 4096
 _STEP = 2  # rarity classes: half powers of two
@@ -50,7 +50,7 @@ _CHUNK = 500_000  # pairs looked at together
 _MARKS = 128  # bits a text
 _SHORT = 96  # runs of a text that marks are of use for
 FRAGMENTS = 16
-SLOT_TEXTS = 400_000  # texts of a slot, about
+SLOT_BYTES = 512 << 20  # of text for each slot, about
 HOT_ROWS = 3000  # texts that hot runs are told by
 _PROBE, _HOME = 1, 2
 _KIND_BITS = 8  # field << 4 | split; split 0 is the left side of a join of two sides
@@ -291,7 +291,7 @@ def _side(part: _Part) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text with runs, from the entries that tell of whole blocks."""
     for batch in batches:
-        for row in batch.filter(pc.is_valid(batch.column("ids"))).select(["block", "ids", "prints", "held", "many", "tasks"]).to_pylist():
+        for row in batch.to_pylist():
             ids = np.frombuffer(row["ids"], np.int64)
             prints, n = np.frombuffer(row["prints"], np.int64).reshape(2, -1)
             some = np.flatnonzero(n)
@@ -305,7 +305,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _TEXT_SCHEMA = pa.schema([(k, pa.int64()) for k in ("doc", "id", "n", "print")] + [("held", pa.list_(pa.int64())), ("tasks", pa.list_(pa.int32()))])
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_PART_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("frag", pa.int32()), ("shared", pa.int64()), ("part", pa.binary())])
+_PART = "a long, b long, na long, nb long, frag int, shared long, part binary"
+_PART_SCHEMA = pa.schema([(k, pa.int64()) for k in ("a", "b", "na", "nb")] + [("frag", pa.int32()), ("shared", pa.int64()), ("part", pa.binary())])
+_ASKED = ("a", "b", "na", "nb", "frag")
 
 
 def _overlaps(held: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -434,7 +436,6 @@ def _pass_c(entries: pa.Table, pairs: pa.Table) -> pa.Table:
     part = _Part(entries, _HOME)
     held, ends = part.by_text()
     a, b = (pairs.column(k).to_numpy() for k in ("a", "b"))
-    frag = pairs.column("frag").to_numpy()
     x, y = part.number(a), part.number(b)
     both = (x >= 0) & (y >= 0)
     shared = np.zeros(len(a), np.int64)
@@ -442,8 +443,8 @@ def _pass_c(entries: pa.Table, pairs: pa.Table) -> pa.Table:
     some = (shared > 0) | (~both & (x >= 0))
     low = (held & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     parts = [None if done else low[ends[i] : ends[i + 1]].tobytes() for i, done in zip(x[some].tolist(), both[some].tolist(), strict=True)]
-    columns = [pa.array(v[some]) for v in (a, b, frag.astype(np.int32), shared)]
-    return pa.Table.from_arrays([*columns, pa.array(parts, pa.binary())], schema=_PART_SCHEMA)
+    columns = [pairs.column(k).filter(pa.array(some)) for k in _ASKED]
+    return pa.Table.from_arrays([*columns, pa.array(shared[some]), pa.array(parts, pa.binary())], schema=_PART_SCHEMA)
 
 
 def _pass_d(entries: pa.Table, carried: pa.Table) -> pa.Table:
@@ -458,10 +459,8 @@ def _pass_d(entries: pa.Table, carried: pa.Table) -> pa.Table:
     for k, (i, own) in enumerate(zip(y.tolist(), carried.column("part"), strict=True)):
         if i >= 0:
             shared[k] = len(np.intersect1d(low[ends[i] : ends[i + 1]], np.frombuffer(own.as_buffer(), np.uint32)))
-    return pa.Table.from_arrays(
-        [carried.column("a").combine_chunks(), carried.column("b").combine_chunks(), carried.column("frag").combine_chunks(), pa.array(shared), pa.nulls(len(shared), pa.binary())],
-        schema=_PART_SCHEMA,
-    )
+    columns = [carried.column(k) for k in _ASKED]
+    return pa.Table.from_arrays([*columns, pa.array(shared), pa.nulls(len(shared), pa.binary())], schema=_PART_SCHEMA)
 
 
 def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,13 +472,13 @@ def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hot_runs(texts: DataFrame, rows: int = HOT_ROWS) -> np.ndarray:
     """Runs that several of a bounded sample of texts hold; they only decide where parts meet, not what is found."""
-    sample = [r["text"] for r in texts.filter("id is not null").orderBy(F.xxhash64("id")).limit(rows).select("text").collect()]
+    sample = [r["text"] for r in sample_rows(texts, "id", ["text"], rows)]
     runs, count = np.unique(batch_runs(sample)[0], return_counts=True)
     return runs[count > 2]
 
 
 def similar_texts(
-    texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int = FRAGMENTS, rows: int | None = None, slots: int | None = None
+    texts: DataFrame, threshold: float = 0.8, cross: bool = False, fragments: int = FRAGMENTS, slots: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of texts of at least ``threshold`` likeness.
 
@@ -487,18 +486,20 @@ def similar_texts(
     compared; with ``cross`` only texts of split 0 with those of other splits are, else only split 0 is expected.
     pairs: a, b, likeness DOUBLE between class representatives, split 0 first when ``cross``.
     members: doc, rep, id, kind for every text that has runs; rep is its class. Pairs inside a class are not listed.
-    rows: number of texts, if known. slots: tasks of a fragment; if left out, one for every ``SLOT_TEXTS`` texts.
+    slots: tasks of a fragment; if left out, one for every ``SLOT_BYTES`` of text.
     """
     spark = ship(texts.sparkSession)
     texts = texts.select(F.col("id").cast("long"), F.col("kind").cast("int"), F.col("text").cast("string")).filter("id is not null")
     if slots is None:
-        slots = max(1, math.ceil((texts.count() if rows is None else rows) / SLOT_TEXTS))
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+        slots = max(1, -(-size // SLOT_BYTES))
     hot = hot_runs(texts) if slots > 1 else np.zeros(0, np.uint64)
     tasks = fragments * slots
     parts = min(tasks, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * (1 if slots == 1 else slots))
     keys = np.array(even_keys(tasks, parts), np.int32)
     entries = texts.mapInArrow(_entries(keys, slots, threshold, hot), _ENTRY).repartition(parts, "key")
-    docs = entries.mapInArrow(_texts, "doc long, id long, n long, print long, held array<long>, tasks array<int>")
+    whole = entries.filter("ids is not null").select("block", "ids", "prints", "held", "many", "tasks")
+    docs = whole.mapInArrow(_texts, "doc long, id long, n long, print long, held array<long>, tasks array<int>")
     kind = F.shiftright("doc", 16).bitwiseAND(F.lit((1 << _KIND_BITS) - 1)).cast("int")
     classes = docs.groupBy("print", "n", kind.alias("kind")).agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     copied = classes.filter("copies > 1").select("print", "n", "kind", "rep")
@@ -520,16 +521,15 @@ def similar_texts(
     # only the fragments in which both texts have runs
     common = F.expr(f"filter(sequence(0, {fragments - 1}), f -> shiftright(ha[f div 64] & hb[f div 64], cast(f % 64 as int)) & 1 = 1)")
     home = lambda c: F.pmod(F.shiftright(c, 16 + _KIND_BITS), F.lit(slots)).cast("int").alias("slot")
-    asked = sized.select("a", "b", home("a"), F.explode(common).alias("frag")).join(F.broadcast(table), ["frag", "slot"])
-    schema = "a long, b long, frag int, shared long, part binary"
-    counted = entries.groupBy("key").cogroup(asked.select("key", "a", "b", "frag").groupBy("key")).applyInArrow(_pass_c, schema)
+    asked = sized.select("a", "b", "na", "nb", home("a"), F.explode(common).alias("frag")).join(F.broadcast(table), ["frag", "slot"])
+    counted = entries.groupBy("key").cogroup(asked.select("key", *_ASKED).groupBy("key")).applyInArrow(_pass_c, _PART)
     if slots > 1:
+        counted = checkpoint(counted)  # read twice
         carried = counted.filter("part is not null").withColumn("slot", home("b")).join(F.broadcast(table), ["frag", "slot"])
-        carried = carried.select("key", "a", "b", "frag", "part")
-        counted = counted.unionByName(entries.groupBy("key").cogroup(carried.groupBy("key")).applyInArrow(_pass_d, schema))
-    summed = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        carried = carried.select("key", *_ASKED, "part")
+        counted = counted.unionByName(entries.groupBy("key").cogroup(carried.groupBy("key")).applyInArrow(_pass_d, _PART))
     pairs = (
-        sized.select("a", "b", "na", "nb").join(summed, ["a", "b"])
+        counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
         .withColumn("likeness", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
         .filter(F.col("likeness") >= threshold - 1e-12).select("a", "b", "likeness")
     )
