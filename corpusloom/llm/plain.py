@@ -207,14 +207,38 @@ def differs(text: str | None) -> bool:
     return plain != text and plain.lower() != text.lower()
 
 
-_PROTOTYPES = _TO_LATIN | {ord(k): v for k, v in _KANA.items()} | {ord("đ"): "đ", ord("Đ"): "đ"}
+_PROTOTYPES = _TO_LATIN | {ord(k): v for k, v in _KANA.items()} | {ord("đ"): "đ", ord("Đ"): "Đ"}
+_SKELETON = _FORM | {ord(k): v for k, v in _SPLIT.items()}
+
+
+@lru_cache(maxsize=1)
+def _prototypes() -> dict[int, str]:
+    """The look-alike table, and by rule the letters and digits whose compatibility form is one plain letter or digit (styled letters)."""
+    out: dict[int, str] = dict(_PROTOTYPES)
+    for code in (*range(0x2100, 0x2150), *range(0x1D400, 0x1D800), *range(0xFF00, 0xFFF0)):
+        char = chr(code)
+        to = unicodedata.normalize("NFKC", char)
+        if len(to) == 1 and to != char and char.isalnum() and to.isalnum():
+            out[code] = to
+    return out
+
+
+def prototype(text: str) -> str:
+    """Decompose, replace every character by its prototype, decompose again; letter case stays."""
+    apart = unicodedata.normalize("NFD", text.translate(_SKELETON))
+    return unicodedata.normalize("NFD", apart.translate(_prototypes()))
+
+
+def unlike_prototype(text: str) -> bool:
+    """Whether the prototypes change a text beyond its decomposition, or it is not composed as it should be."""
+    apart = unicodedata.normalize("NFD", text)
+    return prototype(text) != apart or unicodedata.normalize("NFC", text) != text
 
 
 def skeleton(text: str | None) -> str | None:
-    """The look-alike skeleton: decompose, replace each character by its prototype, decompose again."""
+    """The look-alike skeleton: the prototypes without letter case."""
     if text is None:
         return None
     if text.isascii():
         return text.casefold()
-    apart = unicodedata.normalize("NFD", text.translate(_FORM | {ord(k): v for k, v in _SPLIT.items()}))
-    return unicodedata.normalize("NFD", apart.translate(_PROTOTYPES)).casefold()
+    return unicodedata.normalize("NFD", prototype(text).casefold())
