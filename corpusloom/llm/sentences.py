@@ -34,14 +34,16 @@ _BEFORE = frozenset(
 _WITHIN = frozenset("v.v v.v.v etc e.g i.e a.m p.m vv".split())
 _OPEN, _CLOSE = "“«「『‘", "”»」』’"
 _PAIRS = dict(zip(_CLOSE, _OPEN, strict=True))
-_MARK = re.compile(r"(?:[。！？｡]+|[.!?…]+(?![0-9a-zà-öø-ÿ/@]))(?:[\"”’»」』)\]）]|[   ]»)*")
+# Full stops and question marks of scripts without capitals: Arabic, Devanagari, Khmer, Armenian, Ethiopic, Burmese.
+_CASELESS = "؟۔।॥។៕։።፧။"
+_MARK = re.compile(rf"(?:[。！？｡{_CASELESS}]+|[.!?…]+(?![0-9a-zà-öø-ÿ/@]))(?:[\"”’»」』)\]）]|[   ]»)*")
 _THAI_SPACE = re.compile("(?<=[฀-๿])​* +​*(?=[฀-๿])")
 _THAI = re.compile("[฀-๿]")
 _QUOTES = re.compile('["“”«»「」『』]')
 _HIDDEN = re.compile("[​­͏]")
 _LINE = re.compile(r"[^\r\n\x0b\x0c\x1c-\x1e\x85  ]+")
 _TOKEN = re.compile(r"[^\s\"“”«»「」『』(（\[]*$")
-_END = ".!?…。！？｡"
+_END = ".!?…。！？｡" + _CASELESS
 
 
 @lru_cache(maxsize=1)
@@ -154,8 +156,13 @@ def candidates(line: str) -> Iterator[tuple[int, int, tuple]]:
         last = word.rpartition(".")[2]
         low = word.lower()
         mark = match[0][0] if match[0][0] in _END else "."
-        dots = "..." if match[0].startswith("...") or mark == "…" else mark
-        if low in _WITHIN or low.strip(".;,") in _WITHIN:
+        caseless = mark in _CASELESS
+        if caseless and (nxt == "lower" and not line[to : to + 1].islower()):
+            nxt = "han"  # a letter that has no case, as after the full stops that the tables hold
+        dots = "..." if match[0].startswith("...") or mark == "…" else "。" if caseless else mark
+        if caseless:
+            kind = last = "han"
+        elif low in _WITHIN or low.strip(".;,") in _WITHIN:
             kind = "within"
         elif last[:1].isupper() and last.lower() in _BEFORE and mark == ".":
             kind = "before"

@@ -305,3 +305,18 @@ def test_endings_on_held_out_sentences(data):
     rest = [s for s in whole[1::2] if len(s) > 40]
     right = sum(model.whole(s) for s in rest) + sum(not model.whole(s[: len(s) // 2]) for s in rest)
     assert right / (2 * len(rest)) > 0.8  # some hundred sentences to learn from; 2,000 records give far more
+
+
+@pytest.mark.parametrize("text", ["هذا نص قصير. لا أعرف؟ نعم أعرف.", "यह पहला वाक्य है। यह दूसरा है।", "នេះជាប្រយោគទីមួយ។ នេះជាប្រយោគទីពីរ។", "Սա առաջինն է։ Սա երկրորդն է։"])
+def test_full_stops_of_other_scripts(data, text):
+    model = sentences.fit(pd.read_parquet(f"{data}/train.parquet").article)
+    assert len(model.sentences(text)) == 2
+    assert "".join(model.sentences(text)).replace(" ", "") == text.replace(" ", "")
+
+
+@pytest.mark.parametrize("text,unlike", [("ｘin", True), ("Ηa Nội", True), ("bài", False), ("bài", True), ("β", False), ("a​b", True), ("1️⃣ 𝐚", True), ("", False)])
+def test_prototypes_tell_candidates(text, unlike):
+    from corpusloom.llm.plain import unlike_prototype
+
+    assert unlike_prototype(text) is unlike
+    assert not differs(text) or unlike_prototype(text)
