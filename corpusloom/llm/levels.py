@@ -1,14 +1,17 @@
 """Reading level of each document (problem 9): gradient-boosted trees over the measures of its sentences.
 
-Every sentence is measured by its length, vocabulary, syntax and cohesion: words and their lengths, the grade of
-its words in the graded samples and the share of words unknown there, commas, brackets, hyphens, digits and
-capitals, and the words it shares with the sentence before. Boosted trees grade the sentences; cut points that
-are calibrated on held-out folds turn grades into levels; a document has the level of most of its sentences,
-the mean grade deciding ties. Sentences of held-out passages (most of whose five-word runs are an item's) do not
-count, and mark-up is taken out first.
-
-The samples are few and fixed and are read to the driver up to ``MOST_SAMPLES`` rows (a bounded sample to fit on); more
-held-out passages than that are an error. Documents without a
+Every sentence is measured by its length, vocabulary, syntax and cohesion: the number of words and the distribution of
+their lengths, the grades of its words in the graded samples and the share of words unknown there, commas, brackets,
+hyphens, digits and capitals, and the words it shares with the sentence before. Boosted trees grade the sentences; cut
+points that are calibrated on held-out folds turn grades into levels; a document has the level of most of its
+sentences, the mean grade deciding ties. Sentences of held-out passages (most of whose five-word runs are an item's) do
+not count, and mark-up is taken out first.
+
+``level_accuracy`` tells of samples that took part in nothing: neither trees nor word grades nor cut points saw them,
+once in folds of all sources and once without their whole source.
+
+The samples are few and fixed and are read to the driver up to ``MOST_SAMPLES`` rows (a bounded sample to fit on). Held-out
+passages of any number are looked up, in shards of ``SHARD`` passages. Documents without a
 sentence, null ones included, get the level nearest to the samples' mean. Repeated documents each have a row.
 """
 
@@ -30,6 +33,7 @@ from corpusloom.llm.trees import BoostedTrees
 from corpusloom.session import ship
 
 MOST_SAMPLES = 20_000
+SHARD = 20_000
 FOLDS = 5
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _END, _COMMA, _BRACKET, _HYPHEN = ".!?…。！？", ",;:、，；：", "()[]（）", "-–/"
@@ -75,7 +79,7 @@ class Measured:
         if not n:
             self.owner = self.first = np.zeros(0, np.int64)
             self.held = np.zeros(0, bool)
-            self.base = np.zeros((0, 11))
+            self.base = np.zeros((0, 13))
             return
         kind = _flags()[lay.codes]
         count = {k: np.concatenate(([0], np.cumsum(kind == k))) for k in range(1, 9)}
@@ -106,6 +110,7 @@ class Measured:
                 self.size, np.add.reduceat(length, first) / self.size, np.maximum.reduceat(length, first),
                 np.add.reduceat((length > 6).astype(float), first) / self.size, *per.values(), shared,
                 (count[1][b] - count[1][a]) / self.size,
+                np.add.reduceat((length > 9).astype(float), first) / self.size, self._spread(length, first),
             ],
             1,
         )
@@ -121,6 +126,12 @@ class Measured:
             self.held = (total[upto] - total[first]) >= 0.5 * np.maximum(upto - first, 1)
 
 
+    def _spread(self, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Standard deviation of the words' lengths."""
+        mean = np.add.reduceat(length, first) / self.size
+        return np.sqrt(np.maximum(np.add.reduceat(length.astype(float) ** 2, first) / self.size - mean**2, 0))
+
+
 def _abbreviation_hashes() -> np.ndarray:
     if not hasattr(_abbreviation_hashes, "value"):
         _abbreviation_hashes.value = np.sort(Layout([" ".join(_ABBREVIATIONS)]).hashed)
@@ -143,7 +154,6 @@ class Grader:
                 grade[out] = self.trees.predict(self._features(measured)[out])
         self.levels = np.unique(levels).astype(int) if len(levels) else np.array([1])
         self.cuts = self._calibrate(grade, measured, levels)
-        self.held_out = self._vote(grade, measured.owner, len(levels), np.ones(len(y), bool))[0]
         self._learn(measured, y, np.ones(len(y), bool))
         self.mean = float(levels.mean()) if len(levels) else 1.0
 
@@ -226,7 +236,11 @@ def _grade(model):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                level, mean, n = grader.grade(piece.column(1).to_pylist(), held)
+                own = held
+                if batch.num_columns > 2:  # runs that earlier shards knew
+                    known = [np.frombuffer(x, np.uint64) for x in piece.column(2).to_pylist() if x]
+                    own = np.unique(np.concatenate([held, *known]))
+                level, mean, n = grader.grade(piece.column(1).to_pylist(), own)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(level, pa.int64()), pa.array(mean), pa.array(n, pa.int64())], schema=_SCHEMA
                 )
@@ -234,30 +248,79 @@ def _grade(model):
     return run
 
 
+def _look_up(shard):
+    """Adds the runs of each document that the shard's passages hold to those found before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shard.value
+        for batch in batches:
+            before = batch.column(2).to_pylist()
+            lay = Layout(cleaned(batch.column(1).to_pylist()))
+            runs, owner = runs_of(lay.hashed, lay.owner)
+            runs = runs & ~_LOW
+            hit = held[np.minimum(np.searchsorted(held, runs), len(held) - 1)] == runs if len(held) else np.zeros(len(runs), bool)
+            runs, owner = runs[hit], owner[hit]
+            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            after = [x + runs[i:j].tobytes() for x, i, j in zip(before, ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(after, pa.binary())], names=["doc_id", "text", "held"])
+
+    return run
+
+
+def _samples(samples: DataFrame, *more: str) -> list:
+    columns = ("sample_id", "text", F.col("reading_level").cast("long").alias("reading_level"), *more)
+    rows = samples.select(*columns).orderBy("sample_id").limit(MOST_SAMPLES).collect()
+    return [r for r in rows if r["reading_level"] is not None]
+
+
 def reading_levels(
-    documents: DataFrame, samples: DataFrame, held_out: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, samples: DataFrame, held_out: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD
 ) -> DataFrame:
     """(id_col, reading_level, grade, sentences) of every document."""
     spark = ship(documents.sparkSession)
-    rows = samples.select("sample_id", "text", F.col("reading_level").cast("long")).orderBy("sample_id").limit(MOST_SAMPLES).collect()
-    rows = [r for r in rows if r[2] is not None]
-    grader = Grader([r[1] for r in rows], [r[2] for r in rows])
+    rows = _samples(samples)
+    grader = Grader([r["text"] for r in rows], [r["reading_level"] for r in rows])
+    narrow = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     held = None
     if held_out is not None:
-        passages = [r[0] for r in held_out.select("text").limit(MOST_SAMPLES + 1).collect()]
-        if len(passages) > MOST_SAMPLES:
-            raise ValueError(f"more than {MOST_SAMPLES} held-out passages; take them out of the texts first")
-        held = np.unique(batch_runs(passages)[0])
+        shards = max(1, -(-held_out.count() // shard))
+        place = F.pmod(F.xxhash64("text"), F.lit(shards))
+        if shards > 1:
+            narrow = narrow.withColumn("held", F.lit(b""))
+        for k in range(shards):
+            passages = [r["text"] for r in held_out.filter(place == k).select("text").collect()]
+            held = np.unique(batch_runs(passages)[0])
+            if k + 1 < shards:
+                narrow = narrow.mapInArrow(_look_up(spark.sparkContext.broadcast(held)), "doc_id long, text string, held binary")
     model = spark.sparkContext.broadcast((grader, held))
-    narrow = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = narrow.mapInArrow(_grade(model), "doc_id long, reading_level long, grade double, sentences long")
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def level_accuracy(samples: DataFrame) -> DataFrame:
-    """(lang, samples, right) of the samples' held-out levels, by the source given as their language."""
-    rows = samples.select("sample_id", "text", F.col("reading_level").cast("long"), "lang").orderBy("sample_id").limit(MOST_SAMPLES).collect()
-    grader = Grader([r[1] for r in rows], [r[2] for r in rows])
-    found = [(r[3], int(level == r[2])) for r, level in zip(rows, grader.held_out, strict=True)]
-    frame = samples.sparkSession.createDataFrame(found, "lang string, right_one long")
-    return frame.groupBy("lang").agg(F.count("*").alias("samples"), F.sum("right_one").alias("right"))
+def level_accuracy(samples: DataFrame, source_col: str = "lang") -> DataFrame:
+    """(source, samples, right, right_unseen): samples whose level comes out right by source.
+
+    right: by a grader that was fitted and calibrated on the other folds, which hold all sources. right_unseen: by one
+    that saw no sample of the source at all.
+    """
+    rows = _samples(samples, source_col)
+    texts, levels = [r["text"] for r in rows], np.array([r["reading_level"] for r in rows], np.int64)
+    sources = np.array([str(r[source_col]) for r in rows])
+    right, unseen = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+
+    def test(out: np.ndarray, result: np.ndarray) -> None:
+        if out.any() and (~out).any():
+            grader = Grader([t for t, o in zip(texts, out, strict=True) if not o], levels[~out].tolist())
+            result[out] = grader.grade([t for t, o in zip(texts, out, strict=True) if o])[0] == levels[out]
+
+    place = np.zeros(len(rows), np.int64)  # folds take from every source and level in turn
+    for s in np.unique(sources):
+        for level in np.unique(levels):
+            own = np.flatnonzero((sources == s) & (levels == level))
+            place[own] = np.arange(len(own)) % FOLDS
+    for k in range(FOLDS):
+        test(place == k, right)
+    for s in np.unique(sources):
+        test(sources == s, unseen)
+    found = [(s, int((sources == s).sum()), int(right[sources == s].sum()), int(unseen[sources == s].sum())) for s in np.unique(sources).tolist()]
+    return samples.sparkSession.createDataFrame(found, f"{source_col} string, samples long, right long, right_unseen long")

@@ -122,6 +122,8 @@ def test_held_out_passages_do_not_count(spark, data):
     frame = spark.createDataFrame([(1, f"{low} {passage}")], "doc_id long, text string")
     assert levels.reading_levels(frame, samples, items).first()["reading_level"] == 1
     assert levels.reading_levels(frame, samples).first()["reading_level"] == 4
+    many = items.unionByName(spark.createDataFrame([(k, f"đoạn văn số {k} không có ở đâu cả") for k in range(2, 40)], items.schema))
+    assert levels.reading_levels(frame, samples, many, shard=9).first()["reading_level"] == 1
 
 
 @pytest.mark.parametrize("windows", [2, 256])
