@@ -2,9 +2,13 @@
 
 Each partition keeps at most ``windows`` open containers per capacity. An item goes into the fullest open
 container that still takes it; if none does, a new one is opened, and when too many are open the fullest is
-closed. Items come to the packer ``windows`` at a time, the largest first. What is open at the end of a partition is merged: the half-filled containers are themselves packed, by
-the same rule and fullest first, within groups of partitions and then over all groups. Only an item larger
-than the capacity is split, into full pieces and a rest that is packed like any other item.
+closed. Items come to the packer ``windows`` at a time, the largest first. What is open at the end of a partition is
+merged: the half-filled containers are themselves packed, by the same rule and fullest first, within groups of
+partitions, then within groups of groups and so on, so that no task ever merges more than about ``MERGED`` of them. Only an
+item larger than the capacity is split, into full pieces and a rest that is packed like any other item.
+
+The placements are worked out once and kept, as a second run of the same plan may meet the items in another order;
+merges refer to the containers of that run.
 
 Sizes are tokens of the byte-level tokenizer: UTF-8 bytes plus one end token. Pieces are ranges of tokens.
 Rows with a null id are packed like others. A null text has the size of its end token only; repeated items are packed each; empty tables give no rows.
@@ -19,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship
+from corpusloom.session import checkpoint, ship
 
-MOST_KINDS = 1000
-GROUP = 256
+MERGED = 65_536
 
 
 class Packer:
@@ -127,21 +130,28 @@ def _merge(windows: int):
 def pack(items: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = 4096) -> DataFrame:
     """(container_kind, capacity_tokens, container_id, id, piece, start_token, tokens) of every item and capacity."""
     ship(items.sparkSession)
-    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").limit(MOST_KINDS + 1).collect()]
-    if len(kinds) > MOST_KINDS or any(c < 1 for _, c in kinds):
-        raise ValueError(f"at most {MOST_KINDS} kinds of containers, each of a capacity of one token or more")
+    # the kinds of containers are a list that people keep, and each is a packing of its own
+    kinds = [(r[0], int(r[1])) for r in containers.select("container_kind", "capacity_tokens").collect()]
+    if any(c < 1 for _, c in kinds):
+        raise ValueError("a container has a capacity of one token or more")
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long") + 1
     sized = items.select(F.col(f"`{id_col}`").cast("long").alias("item"), size.alias("size"))
-    rows = sized.mapInArrow(_pack(kinds, windows), _ROWS)
+    rows = checkpoint(sized.mapInArrow(_pack(kinds, windows), _ROWS))
     placed = rows.filter("fill is null")
     left = rows.filter("fill is not null").select("container_kind", "capacity", "container", "fill")
-    group = F.floor(F.shiftright("container", 36) / GROUP)
-    once = left.groupBy("container_kind", "capacity", group).applyInArrow(_merge(windows), _MOVE)
-    twice = once.filter("fill is not null").select("container_kind", "capacity", "container", "fill")
-    twice = twice.groupBy("container_kind", "capacity").applyInArrow(_merge(1 << 30), _MOVE)
-    step = twice.select("container_kind", F.col("container").alias("goes_to"), F.col("goes_to").alias("ends_in"))
-    moves = once.join(step, ["container_kind", "goes_to"], "left")
-    moves = moves.select("container_kind", "container", F.coalesce("ends_in", "goes_to").alias("moved"))
+    fan = max(2, MERGED // windows)
+    width, parts, moves = 1, max(1, rows.rdd.getNumPartitions()), None
+    while width < parts or moves is None:
+        width *= fan
+        group = F.floor(F.shiftright("container", 36) / width)
+        step = checkpoint(left.groupBy("container_kind", "capacity", group).applyInArrow(_merge(windows), _MOVE))
+        left = step.filter("fill is not null").select("container_kind", "capacity", "container", "fill")
+        if moves is None:
+            moves = step.select("container_kind", "container", F.col("goes_to").alias("moved"))
+        else:
+            more = step.select("container_kind", F.col("container").alias("moved"), "goes_to")
+            moves = moves.join(more, ["container_kind", "moved"], "left")
+            moves = moves.select("container_kind", "container", F.coalesce("goes_to", "moved").alias("moved"))
     return placed.join(moves, ["container_kind", "container"], "left").select(
         "container_kind", F.col("capacity").alias("capacity_tokens"), F.coalesce("moved", "container").alias("container_id"),
         F.col("item").alias(id_col), "piece", "start_token", "tokens",

@@ -144,6 +144,24 @@ def test_packing(spark, windows):
     assert packing.pack(items.limit(0), kinds).count() == 0
 
 
+def test_packing_holds_when_the_order_of_items_changes(spark, monkeypatch):
+    """Many small partitions behind a shuffle, merged in several levels of small groups."""
+    monkeypatch.setattr(packing, "MERGED", 8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(k, "a" * ((k * 53) % 70)) for k in range(600)]
+        items = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.rand()).repartition(23)
+        kinds = spark.createDataFrame([("small", 100)], "container_kind string, capacity_tokens long")
+        placed = packing.pack(items, kinds, windows=4)
+        for _ in range(2):  # each time the plan of the placements could run again
+            found = placed.toPandas()
+            assert sorted(found.doc_id) == list(range(600)) and (found.groupby("container_id").tokens.sum() <= 100).all()
+        containers = found.container_id.nunique()
+        assert containers * 100 * 0.85 < found.tokens.sum()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_best_fit():
     packer = packing.Packer(10, 2)
     assert [packer.put(s) for s in (6, 7, 3, 4, 9, 1)] == [0, 1, 1, 0, 2, 2]
