@@ -129,10 +129,21 @@ def _rouge_both() -> str:
     second = _rouge_rows(2)
     tail = second[second.index("grams AS (") :]
     corpus = (
-        "corpus AS (SELECT a.split, count(*) AS rows, round(avg(a.rouge1) * 100, 2) AS rouge1, round(avg(b.rouge2) * 100, 2) AS rouge2 "
-        "FROM scored1 a JOIN scored b USING (row_ord) GROUP BY a.split)"
+        "corpus AS (SELECT a.split, count(*) AS rows, round(avg(a.rouge1) * 100, 2) AS rouge1, round(avg(b.rouge2) * 100, 2) AS rouge2, "
+        "round(avg(l.rougel) * 100, 2) AS \"rougeL\" FROM scored1 a JOIN scored b USING (row_ord) JOIN scored_l l USING (row_ord) GROUP BY a.split)"
     )
-    return f"{first}, {tail}, {corpus}"
+    return f"{first.replace('WITH pairs', 'WITH RECURSIVE pairs', 1)}, {_LCS}, {tail}, {corpus}"
+
+
+# The table of common subsequences row by row, one step of the recursion for each token of p; within a row the running maximum.
+_LCS = (
+    "lcs AS (SELECT row_ord, 0 AS i, p, r, list_transform(range(len(r) + 1), lambda j: 0) AS d FROM made UNION ALL "
+    "SELECT row_ord, i + 1, p, r, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM ("
+    "SELECT *, list_transform(range(len(r) + 1), lambda j: CASE WHEN j = 0 THEN 0 "
+    "ELSE greatest(d[j + 1], CASE WHEN r[j] = p[i + 1] THEN d[j] + 1 ELSE 0 END) END) AS c FROM lcs WHERE i < len(p))), "
+    "scored_l AS MATERIALIZED (SELECT row_ord, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0 ELSE 2.0 * d[len(r) + 1] / (len(p) + len(r)) END AS rougel "
+    "FROM lcs WHERE i = len(p))"
+)
 
 
 def _terms(category: str) -> str:
@@ -236,7 +247,7 @@ def statements() -> dict[str, str]:
     serialized = "concat_ws(';', " + ", ".join(f"CASE WHEN len(s_{c}) > 0 THEN '{c}=' || array_to_string(list_sort(s_{c}), '|') END" for c in EVIDENCE) + ")"
     rates = "round(CAST(sum(CASE WHEN keep THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6)"
     board = (
-        f"{_rouge_both()}, board AS (SELECT split AS run, rouge1, rouge2, rouge1 AS \"rougeL\", row_number() OVER (ORDER BY rouge1 DESC, split) AS place FROM corpus)"
+        f"{_rouge_both()}, board AS (SELECT split AS run, rouge1, rouge2, \"rougeL\", row_number() OVER (ORDER BY \"rougeL\" DESC, split) AS place FROM corpus)"
     )
     delta = " UNION ALL ".join(
         f"SELECT '{m}' AS metric, max(CASE WHEN run = 'validation' THEN \"{m}\" END) AS base, max(CASE WHEN run = 'test' THEN \"{m}\" END) AS tuned FROM board"
@@ -283,6 +294,7 @@ def statements() -> dict[str, str]:
         "keep_rates": f"{_classified()} SELECT coalesce(split, 'all') AS split, count(*) AS input_rows, CAST(sum(CASE WHEN keep THEN 1 ELSE 0 END) AS BIGINT) AS kept_rows, CAST(sum(CASE WHEN keep THEN 0 ELSE 1 END) AS BIGINT) AS excluded_rows, {rates} AS keep_rate FROM classified GROUP BY ROLLUP (split)",
         "rouge1_rows": f"{_rouge_rows(1)} SELECT row_ord, round(rouge1, 6) AS rouge1 FROM scored",
         "rouge2_rows": f"{_rouge_rows(2)} SELECT row_ord, round(rouge2, 6) AS rouge2 FROM scored",
+        "rougeL_rows": f"{_rouge_rows(1).replace('WITH pairs', 'WITH RECURSIVE pairs', 1)}, {_LCS} SELECT row_ord, round(rougel, 6) AS \"rougeL\" FROM scored_l",
         "rouge_corpus": f"{_rouge_both()} SELECT * FROM corpus",
         "prediction_export": f"{_NORM} SELECT row_ord AS index, CASE WHEN split = 'test' THEN '' ELSE article END AS article, summary AS reference, {pred} AS prediction FROM normed",
         "run_leaderboard": f"{board} SELECT * FROM board",
