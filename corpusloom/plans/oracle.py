@@ -208,6 +208,22 @@ _SHINGLES = (
 )
 
 
+# Survivors one text after the other in processing order: a text is dropped if it is like one that was kept.
+_WALK = (
+    _SHINGLES.replace(_KEYED, _KEPT, 1).replace("FROM keyed GROUP BY", "FROM kept GROUP BY").replace("WITH pairs", "WITH RECURSIVE pairs", 1)
+    + ", flat AS MATERIALIZED (SELECT first, len(sh) AS n, unnest(sh) AS g FROM sets), "
+    "edges AS MATERIALIZED (SELECT fa, fb, k / (na + nb - k) AS likeness FROM (SELECT a.first AS fa, b.first AS fb, any_value(a.n) AS na, any_value(b.n) AS nb, "
+    "CAST(count(*) AS DOUBLE) AS k FROM flat a JOIN flat b ON a.g = b.g AND a.first < b.first AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2) "
+    "WHERE k / (na + nb - k) >= 0.8), "
+    "nodes AS MATERIALIZED (SELECT first, row_number() OVER (ORDER BY first) AS i FROM (SELECT fa AS first FROM edges UNION SELECT fb FROM edges)), "
+    "near AS MATERIALIZED (SELECT n.i, n.first, list(m.i) AS before FROM nodes n LEFT JOIN edges e ON e.fb = n.first LEFT JOIN nodes m ON m.first = e.fa GROUP BY ALL), "
+    "walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS stay UNION ALL SELECT near.i, CASE WHEN list_has_any(near.before, walk.stay) THEN walk.stay "
+    "ELSE list_append(walk.stay, near.i) END FROM walk JOIN near ON near.i = walk.i + 1), "
+    "last AS MATERIALIZED (SELECT stay FROM walk ORDER BY i DESC LIMIT 1), "
+    "state AS MATERIALIZED (SELECT first, NOT list_contains((SELECT stay FROM last), i) AS dropped FROM nodes)"
+)
+
+
 def statements() -> dict[str, str]:
     sizes = f"SELECT split, count(*) AS rows FROM (SELECT {_ASSIGN} AS split FROM keyed) GROUP BY split"
     stat = (
@@ -287,6 +303,14 @@ def statements() -> dict[str, str]:
             "AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2) "
             "SELECT row_a, row_b, round(CAST(k AS DOUBLE) / (na + nb - k), 6) AS likeness FROM shared WHERE CAST(k AS DOUBLE) / (na + nb - k) >= 0.8"
         ),
+        "near_dup_survivors": (
+            f"{_WALK} SELECT split, row_ord FROM kept WHERE article_key NOT IN (SELECT t.key FROM texts t JOIN state s ON s.first = t.first WHERE s.dropped)"
+        ),
+        "near_dup_examples": (
+            f"{_WALK}, best AS (SELECT fb, arg_min(fa, (-likeness, fa)) AS fa, max(likeness) AS likeness FROM edges "
+            "JOIN state x ON x.first = fa AND NOT x.dropped JOIN state y ON y.first = fb AND y.dropped GROUP BY fb ORDER BY fb LIMIT 20) "
+            "SELECT fb % 1000000000 AS dropped_row, fa % 1000000000 AS kept_row, round(likeness, 6) AS word_5gram_jaccard FROM best"
+        ),
         "lexicon_hits": f"{_evidence()} SELECT category, term, count(*) AS rows FROM ({hits}) GROUP BY category, term",
         "evidence_scores": f"{_classified()} SELECT row_ord, score, article_support_score FROM classified",
         "domain_classify": f"{_classified()} SELECT row_ord, keep, reason, {serialized} AS summary_evidence FROM classified",
