@@ -215,3 +215,22 @@ def test_whole_train_table_against_brute_force(spark, data):
     sets = {i: runs(f"{a or ''} {s or ''}") for i, a, s in zip(rows.pair_id, rows.article, rows.summary, strict=True)}
     assert found == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if like(sets[a], sets[b]) >= 0.5}
     assert np.all([a < b for a, b in found])
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_groups", "p3_found", "p3_report", "p8_found", "p8_items"])
+def test_queries_against_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from corpusloom.llm import queries, sql
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    wanted = con.execute(sql.oracle_sql()[name])
+    columns = [c[0] for c in wanted.description]
+    frame = queries.queries()[name](spark, data)
+    assert sorted(frame.columns) == sorted(columns)
+    assert sorted(map(tuple, frame.select(*columns).collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
