@@ -31,6 +31,14 @@ def clean(pairs: DataFrame, config: CleaningConfig) -> dict[str, DataFrame]:
     return {"decided": decided, "unique": unique, "distant": distant, "resolved": checkpoint(resolved)}
 
 
+def near_examples(unique: DataFrame, config: CleaningConfig) -> list[dict[str, Any]]:
+    """The first dropped near-duplicates with the text that was kept, each with its split and row."""
+    if config.near_duplicate_threshold <= 0:
+        return []
+    priority = splits.TRAIN_FIRST if config.leakage_policy == "train-priority" else splits.TEST_FIRST
+    return [r.asDict() for r in neardup.near_duplicate_examples(unique, config.near_duplicate_threshold, priority).collect()]
+
+
 def report(stages: dict[str, DataFrame], config: CleaningConfig) -> dict[str, Any]:
     """Counts of every stage by split, overlaps before and after, and length statistics; a few rows each."""
     by = lambda frame: {r["split"]: r["count"] for r in frame.groupBy("split").count().collect()}
@@ -45,6 +53,7 @@ def report(stages: dict[str, DataFrame], config: CleaningConfig) -> dict[str, An
         "normalized": {r["split"]: r.asDict() for r in quality.normalized_counts(decided).collect()},
         "after_exact_duplicates": by(stages["unique"]),
         "after_near_duplicates": by(stages["distant"]),
+        "near_duplicate_examples": near_examples(stages["unique"], config),
         "overlap_before": splits.overlap_counts(stages["distant"]).first().asDict(),
         "overlap_after": splits.overlap_counts(stages["resolved"]).first().asDict(),
         "articles_with_multiple_summaries": stats.summary_conflicts(stages["unique"]).first()["conflicts"],
@@ -64,9 +73,10 @@ def run(spark: SparkSession, source: str, output: str, config: CleaningConfig) -
     layout = sources.detect_layout(source) if config.layout == "auto" else config.layout
     if layout == "split":
         sources.check_file_selection(source, config.pattern)
-        rows = sources.read_split_layout(spark, source, config.pattern)
+        files = sources.split_files(source, config.pattern)
     else:
-        rows = sources.read_flat_layout(spark, source)
+        files = sources.flat_files(source)
+    rows = sources.read_labelled(spark, files)
     sinks.check_output(output, [source])
     stages = clean(rows, config)
     found = report(stages, config)
@@ -74,7 +84,7 @@ def run(spark: SparkSession, source: str, output: str, config: CleaningConfig) -
         raise ValueError("no training or validation rows are left")
     fmt = config.output_format
     if fmt == "auto":
-        fmt = "csv" if config.pattern.lower().endswith(".csv") else "parquet"
+        fmt = sinks.infer_format([f for own in files.values() for f in own])
 
     def write(folder: str) -> None:
         if not config.audit_only:

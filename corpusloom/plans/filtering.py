@@ -31,22 +31,27 @@ def run(spark: SparkSession, source: str, output: str, audit: str, lexicon: Data
     ship(spark)
     sinks.check_output(output, [source])
     sinks.check_output(audit, [source])
-    rows = None
+    rows, inputs = None, {}
     for split in sources.SPLITS:
-        frame = sources.read_pairs(spark, sources.find_split_file(source, split), strict=True).withColumn("split", F.lit(split))
+        path = sources.find_split_file(source, split)
+        # hashed where it is read; binaryFile gives the whole file to one task
+        digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+        inputs[split] = {"input_file": path.rpartition("/")[2], "input_sha256": digest}
+        frame = sources.read_pairs(spark, path, strict=True).withColumn("split", F.lit(split))
         rows = frame if rows is None else rows.unionByName(frame)
     decided = checkpoint(classify.classify(rows.select("split", "article", "summary"), lexicon))
+    rates = [r.asDict() for r in classify.keep_rates(decided).collect()]
     report = {
-        "splits": [r.asDict() for r in classify.keep_rates(decided).collect()],
+        "inputs": inputs,
+        "splits": rates,
+        "totals": next((r for r in rates if r["split"] is None), None),
         "reasons": [r.asDict() for r in classify.decision_counts(decided).orderBy("split", "keep", "reason").collect()],
         "validation": validate(decided.filter("keep")),
     }
     columns = ["split", "keep", "reason", "score", "summary_evidence", "article_support_score", "article", "summary"]
-    sinks.publish(output, lambda folder: sinks.write_splits(decided.filter("keep"), folder, "csv"))
-
-    def write(folder: str) -> None:
-        decided.filter("not keep").select(*columns).write.option("header", "true").option("escape", '"').csv(f"{folder}/excluded.csv")
-        sinks.save_json(report, f"{folder}/filter_report.json")
-
-    sinks.publish(audit, write)
+    # both are written before either is published, so a failure leaves neither
+    with sinks.Staged(output) as kept, sinks.Staged(audit) as excluded:
+        sinks.write_splits(decided.filter("keep"), kept, "csv")
+        decided.filter("not keep").select(*columns).write.option("header", "true").option("escape", '"').csv(f"{excluded}/excluded.csv")
+        sinks.save_json(report, f"{excluded}/filter_report.json")
     return report

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import paths
+
 # Accepted names, first match in this order.
 ARTICLE_ALIASES = ("article", "document", "source", "text")
 SUMMARY_ALIASES = ("summary", "sumary", "target", "abstract")
@@ -15,16 +17,17 @@ CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
 def find_column(columns: list[str], aliases: tuple[str, ...]) -> str:
-    """The first alias among the columns; case and padding of headers ignored, the later of equal headers wins."""
-    known = {c.strip().casefold(): c for c in columns}
-    for alias in aliases:
-        if alias in known:
-            return known[alias]
-    raise ValueError(f"none of {', '.join(aliases)} among the columns {columns}")
+    """The column of the best alias; case and padding of headers ignored, the last of equal headers wins."""
+    order = {alias: place for place, alias in enumerate(aliases)}
+    folded = [c.strip().casefold() for c in columns]
+    ranked = [(order[name], -place) for place, name in enumerate(folded) if name in order]
+    if not ranked:
+        raise ValueError(f"none of {', '.join(aliases)} among the columns {columns}")
+    return columns[-min(ranked)[1]]
 
 
 def _suffix(path: str) -> str:
-    suffix = Path(path).suffix.casefold()
+    suffix = "." + path.rpartition(".")[2].casefold()
     if suffix not in (".csv", ".parquet", ".pq"):
         raise ValueError(f"neither CSV nor Parquet: {path}")
     return suffix
@@ -70,55 +73,57 @@ def read_files(spark: SparkSession, files: list[str], strict: bool = False) -> D
 
 
 def resolve_files(folder: str, pattern: str) -> list[str]:
-    found = sorted(str(p) for p in Path(folder).glob(pattern) if p.is_file())
+    found = paths.glob(folder, pattern)
     if not found:
         raise FileNotFoundError(f"no file for {pattern} in {folder}")
     return found
 
 
+def read_labelled(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame:
+    """The files of every split as one frame with ``split``."""
+    return reduce(DataFrame.unionByName, [read_files(spark, own).withColumn("split", F.lit(split)) for split, own in files.items()])
+
+
+def split_files(folder: str, pattern: str) -> dict[str, list[str]]:
+    """The files of train/, validation/ and test/ of a folder; a missing folder has none."""
+    return {split: paths.glob(f"{folder}/{split}", pattern) for split in SPLITS}
+
+
+def flat_files(folder: str) -> dict[str, list[str]]:
+    """The train*, valid* and test* Parquet files of a flat folder; train and validation must be there."""
+    found = {split: paths.glob(folder, f"{start}*.parquet") for split, start in zip(SPLITS, ("train", "valid", "test"), strict=True)}
+    for split in SPLITS[:2]:
+        if not found[split]:
+            raise FileNotFoundError(f"no {split} files in {folder}")
+    return found
+
+
 def read_split_layout(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """train/, validation/ and test/ of a folder as one frame with ``split``; a missing folder has no rows."""
-    out = None
-    for split in SPLITS:
-        files = sorted(str(p) for p in (Path(folder) / split).glob(pattern) if p.is_file())
-        frame = read_files(spark, files).withColumn("split", F.lit(split))
-        out = frame if out is None else out.unionByName(frame)
-    return out
+    return read_labelled(spark, split_files(folder, pattern))
 
 
 def read_flat_layout(spark: SparkSession, folder: str) -> DataFrame:
-    """train*, valid*/validation* and test* Parquet files of a flat folder; train and validation must be there."""
-    patterns = {"train": ("train*.parquet",), "validation": ("valid*.parquet", "validation*.parquet"), "test": ("test*.parquet",)}
-    out = None
-    for split, globs in patterns.items():
-        files = sorted({str(p.resolve()) for g in globs for p in Path(folder).glob(g) if p.is_file()})
-        if not files and split != "test":
-            raise FileNotFoundError(f"no {split} files in {folder}")
-        frame = read_files(spark, files).withColumn("split", F.lit(split))
-        out = frame if out is None else out.unionByName(frame)
-    return out
+    return read_labelled(spark, flat_files(folder))
 
 
 def detect_layout(folder: str) -> str:
     """'split' if train/ and validation/ exist, else 'original'."""
-    return "split" if all((Path(folder) / s).is_dir() for s in ("train", "validation")) else "original"
+    return "split" if all(paths.is_folder(f"{folder}/{s}") for s in SPLITS[:2]) else "original"
 
 
 def check_file_selection(folder: str, pattern: str) -> None:
     """At most one CSV per split, and of the same name in all splits."""
-    names = set()
-    for split in SPLITS:
-        found = [p.name for p in (Path(folder) / split).glob(pattern) if p.suffix.casefold() == ".csv"]
-        if len(found) > 1:
-            raise ValueError(f"{split} has more than one CSV variant: {sorted(found)}")
-        names |= set(found)
-    if len(names) > 1:
+    variants = {s: [f.rpartition("/")[2] for f in own if f.casefold().endswith(".csv")] for s, own in split_files(folder, pattern).items()}
+    for split, names in variants.items():
+        if len(names) > 1:
+            raise ValueError(f"{split} has more than one CSV variant: {names}")
+    if len(names := set(sum(variants.values(), []))) > 1:
         raise ValueError(f"splits have different CSV variants: {sorted(names)}")
 
 
 def find_split_file(folder: str, split: str) -> str:
     """The one file named ``{split}_*.*``."""
-    found = sorted(str(p) for p in Path(folder).glob(f"{split}_*.*") if p.is_file())
+    found = paths.glob(folder, f"{split}_*.*")
     if len(found) != 1:
         raise ValueError(f"one file for {split} expected in {folder}, found {len(found)}")
     return found[0]
@@ -126,11 +131,11 @@ def find_split_file(folder: str, split: str) -> str:
 
 def resolve_data_path(path: str, folders: tuple[str, ...] = ()) -> str:
     """An absolute path as it is, else the first that exists under the working directory or the folders."""
-    if Path(path).is_absolute():
+    if path.startswith("/") or "://" in path:
         return path
     for base in (".", *folders):
-        if (Path(base) / path).exists():
-            return str((Path(base) / path).resolve())
+        if paths.exists(f"{base}/{path}"):
+            return paths.absolute(f"{base}/{path}").removeprefix("file:")
     raise FileNotFoundError(path)
 
 
