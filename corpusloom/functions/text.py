@@ -202,6 +202,17 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(shared / either)
 
 
+def key_hash(key: Column) -> Column:
+    """A text as 16 bytes to group and join by, so that no text has to be shuffled; null stays null."""
+    return F.unhex(F.md5(key.cast("binary")))
+
+
+def format_number(value: Column, digits: int = 2) -> Column:
+    """Thousands set apart by commas; whole numbers without decimals."""
+    whole = F.format_number(value.cast("double"), 0)
+    return F.when(value == F.floor(value), whole).otherwise(F.format_number(value.cast("double"), digits))
+
+
 def stable_bucket(key: Column) -> Column:
     """First 8 bytes of SHA-256 as a share of 2**64, the same in every session."""
     prefix = F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 16), 16, 10)

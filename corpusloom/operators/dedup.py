@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 
 
+def hashed_keys(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows with a hash of 128 bits beside every key that is a text, and the names to group by in place of the keys."""
+    kinds = dict(rows.dtypes)
+    names = [f"_hash_{k}" if kinds[k] == "string" and k.endswith("_key") else k for k in keys]
+    return rows.withColumns({n: T.key_hash(F.col(k)) for n, k in zip(names, keys, strict=True) if n != k}), names
+
+
 def first_ordinals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The order columns of the first row of every key; one aggregation with map-side combine."""
+    rows, keys = hashed_keys(rows, keys)
     rest = [c for c in order if c not in keys]
     if len(rest) == 1:  # a plain minimum is hashed, one of a struct would be sorted
         return rows.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*order)
@@ -28,6 +36,7 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def duplicate_counts(rows: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """(by, rows, distinct_keys, duplicates): rows beyond the first of their key."""
+    rows, keys = hashed_keys(rows, keys)
     per_key = rows.groupBy(*by, *keys).agg(F.count("*").alias("n"))
     return per_key.groupBy(*by).agg(
         F.sum("n").alias("rows"), F.count("*").alias("distinct_keys"), (F.sum("n") - F.count("*")).alias("duplicates")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions import text as T
 from corpusloom.session import ship
 
-MOST_TERMS = 20_000
+SHARD = 100_000  # terms of an automaton
 
 #: A small lexicon of our own to show the classifier with; users bring theirs as a frame or a CSV file.
 DEMO: dict[str, tuple[str, ...]] = {
@@ -47,29 +52,45 @@ def demo_lexicon(spark: SparkSession) -> DataFrame:
 
 
 def load_lexicon(lexicon: DataFrame) -> dict[str, list[str]]:
-    """Normalized, distinct terms by category; at most ``MOST_TERMS``, as they travel with the plan."""
+    """Normalized, distinct terms by category; a lexicon is a list that people keep, of any length that the driver holds."""
     ship(lexicon.sparkSession)
     terms = lexicon.select("category", F.trim(T.matching_text(F.col("term"))).alias("term")).distinct().filter("term <> ''")
-    rows = terms.orderBy("category", "term").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
     out: dict[str, list[str]] = {}
-    for category, term in rows:
+    for category, term in terms.orderBy("category", "term").collect():
         out.setdefault(category, []).append(term)
     return out
 
 
-def found_terms(matching: Column, terms: list[str]) -> Column:
-    """The terms a padded matching text holds between spaces."""
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(matching, F.concat(F.lit(" "), t, F.lit(" "))))
+def _finder(spark: SparkSession, pairs: list[tuple[str, str]]):
+    """A column function: "category<0x01>term" of every term that a padded matching text holds, in one walk over the text."""
+    shared = spark.sparkContext.broadcast(pairs)
+
+    @pandas_udf(ArrayType(StringType()))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        held: dict[str, list[str]] = {}
+        for category, term in shared.value:
+            held.setdefault(f" {term} ", []).append(f"{category}\x01{term}")
+        automaton = ahocorasick.Automaton()
+        for phrase, names in held.items():
+            automaton.add_word(phrase, names)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({n for _, names in automaton.iter(t) for n in names}) if t else [] for t in texts], dtype=object)
+
+    return find.asNondeterministic()  # worked out once for all the categories that are taken from it
 
 
 def collect_evidence(rows: DataFrame, matching: str, terms: dict[str, list[str]], prefix: str, categories: tuple[str, ...] = tuple(DEMO)) -> DataFrame:
-    """Adds an array of found terms for every category, named prefix + category."""
-    found = {f"{prefix}{c}": found_terms(F.col(matching), terms.get(c, [])) for c in categories}
-    return rows.withColumns(found)
+    """Adds a sorted array of found terms for every category, named prefix + category; terms in shards of ``SHARD``."""
+    every = [(c, t) for c in categories for t in terms.get(c, [])]
+    if not every:
+        return rows.withColumns({f"{prefix}{c}": F.array().cast("array<string>") for c in categories})
+    shards = [_finder(rows.sparkSession, every[k : k + SHARD])(F.col(matching)) for k in range(0, len(every), SHARD)]
+    out = rows.withColumn("_found", shards[0] if len(shards) == 1 else F.concat(*shards))
+    cut = lambda c: F.transform(F.filter("_found", lambda x: F.startswith(x, F.lit(f"{c}\x01"))), lambda x: F.substring(x, len(c) + 2, 1 << 30))
+    return out.withColumns({f"{prefix}{c}": F.array_sort(cut(c)) for c in categories}).drop("_found")
 
 
 def medical_score(prefix: str) -> Column:

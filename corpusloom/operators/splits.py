@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.dedup import keep_first
+from corpusloom.operators.dedup import hashed_keys, keep_first
 
 TEST_FIRST = ("test", "validation", "train")
 TRAIN_FIRST = ("train", "validation", "test")
@@ -22,16 +22,22 @@ def rank_of(split: Column, priority: tuple[str, ...]) -> Column:
 def overlap_counts(rows: DataFrame, key: str = "article_key") -> DataFrame:
     """(train_validation, train_test, validation_test): keys that two splits share, in one pass over the keys."""
     has = [F.max((F.col("split") == s).cast("int")).alias(s) for s in TRAIN_FIRST]
+    rows, (key,) = hashed_keys(rows, [key])
     per = rows.groupBy(key).agg(*has)
     both = lambda a, b: F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0)).cast("bigint").alias(f"{a}_{b}")
     return per.agg(both("train", "validation"), both("train", "test"), both("validation", "test"))
 
 
 def by_priority(rows: DataFrame, priority: tuple[str, ...] = TEST_FIRST, key: str = "article_key") -> DataFrame:
-    """Rows whose split is the best-ranked holder of their key."""
-    ranked = rows.withColumn("_rank", rank_of(F.col("split"), priority))
-    best = ranked.groupBy(key).agg(F.min("_rank").alias("_rank"))
-    return ranked.join(best, [key, "_rank"], "left_semi").select(*rows.columns)
+    """Rows whose split is the best-ranked holder of their key.
+
+    Only keys that several splits hold can lose a row, and only their losing splits are joined back: one small row
+    for each, whatever the number of rows of a key.
+    """
+    ranked, (name,) = hashed_keys(rows.withColumn("_rank", rank_of(F.col("split"), priority)), [key])
+    held = ranked.groupBy(name).agg(F.min("_rank").alias("_best"), F.max("_rank").alias("_worst"))
+    losing = held.filter("_best < _worst").select(name, F.explode(F.sequence(F.col("_best") + 1, "_worst")).alias("_rank"))
+    return ranked.join(losing, [name, "_rank"], "left_anti").select(*rows.columns)
 
 
 def assign_split(key: Column, train: float = 0.8, validation: float = 0.1) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 
@@ -19,17 +20,40 @@ def length_statistics(keyed: DataFrame, digits: int = 3) -> DataFrame:
         F.struct(F.lit("summary_article_ratio").alias("measure"), F.when(a > 0, s / a).alias("value")),
     )
     long = keyed.select("split", F.explode(measures).alias("m")).select("split", "m.measure", "m.value")
-    points = F.percentile("value", F.array(*(F.lit(p) for p, _ in _POINTS)))
-    stats = long.groupBy("split", "measure").agg(
-        F.count("*").alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"), points.alias("q")
-    )
     r = lambda c: F.round(c, digits)
-    return stats.select(
-        "split", "measure", "rows", r(F.col("lo")).alias("min"), *(r(F.col("q")[k]).alias(n) for k, (_, n) in enumerate(_POINTS)),
+    found = percentiles(long, ["split", "measure"], "value", [p for p, _ in _POINTS])
+    return found.select(
+        "split", "measure", "rows", r(F.col("lo")).alias("min"), *(r(F.col(f"q{k}")).alias(n) for k, (_, n) in enumerate(_POINTS)),
         r(F.col("hi")).alias("max"),
     )
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, rows, lo, hi, q0, q1, …): exact percentiles with linear interpolation; null values count as rows only.
+
+    Rows are counted by value first; running sums over the sorted values of a group then tell which value has which
+    rank. The values of a group are sorted on disk if need be and never held in one buffer.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    known = F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("n"))), F.lit(0))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("rows"), known.alias("_known"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.filter(F.col(value).isNotNull()).withColumn("_to", upto).join(F.broadcast(total.select(*by, "_known")), by)  # one row a group
+    picks = []
+    for k, share in enumerate(shares):
+        at = F.lit(share) * (F.col("_known") - 1)
+        for name, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
+            inside = (F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank)
+            picks.append(F.max(F.when(inside, F.col(value))).alias(f"_{name}{k}"))
+    found = total.join(F.broadcast(ranked.groupBy(*by).agg(*picks)), by, "left")
+    between = []
+    for k, share in enumerate(shares):
+        at = F.lit(share) * (F.col("_known") - 1)
+        mixed = (F.ceil(at) - at) * F.col(f"_a{k}") + (at - F.floor(at)) * F.col(f"_b{k}")
+        between.append(F.when(F.floor(at) == F.ceil(at), F.col(f"_a{k}")).otherwise(mixed).alias(f"q{k}"))
+    return found.select(*by, "rows", "lo", "hi", *between)
+
+
 def summary_conflicts(keyed: DataFrame) -> DataFrame:
     """(conflicts): articles with more than one distinct summary, over all splits."""
     pairs = keyed.select("article_key", "summary_key").distinct()
