@@ -74,11 +74,37 @@ class EvaluationConfig:
         return [f"evaluation.{k} must be above 0" for k in ("vocabulary", "batch_size") if getattr(self, k) < 1]
 
 
+@dataclass
+class ModelConfig:
+    """name: ``lead:N`` for the first N words, or ``package.module:function``, which is called with the decoding options."""
+
+    name: str = "lead:20"
+
+    def problems(self) -> list[str]:
+        return [] if ":" in self.name else ["model.name must be lead:N or module:function"]
+
+
+@dataclass
+class GenerationConfig:
+    num_beams: int = 4
+    max_length: int = 200
+    min_length: int = 30
+    repetition_penalty: float = 1.05
+    length_penalty: float = 1.0
+    no_repeat_ngram_size: int = 3
+
+    def problems(self) -> list[str]:
+        out = [f"generation.{k} must be above 0" for k in ("num_beams", "max_length") if getattr(self, k) < 1]
+        return out + (["generation.min_length must not exceed max_length"] if self.min_length > self.max_length else [])
+
+
 @dataclass
 class Config:
     cleaning: CleaningConfig = field(default_factory=CleaningConfig)
     data: DataConfig = field(default_factory=DataConfig)
     evaluation: EvaluationConfig = field(default_factory=EvaluationConfig)
+    model: ModelConfig = field(default_factory=ModelConfig)
+    generation: GenerationConfig = field(default_factory=GenerationConfig)
 
     def problems(self) -> list[str]:
         return [p for f in dataclasses.fields(self) for p in getattr(self, f.name).problems()]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import paths, sinks
+
 # Files and prefixes in the order they are looked for.
 METRIC_FILES = ("eval_results.json", "validation_metrics.json", "test_metrics.json")
 PREFIXES = ("eval_", "validation_", "test_", "")
@@ -64,15 +64,12 @@ def model_delta(scores: DataFrame, base: str, tuned: str, digits: int = 2) -> Da
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics in long form (run, name, value) of the first metric file of each run folder."""
-    import json
-
     rows = []
-    for run in sorted(p for p in Path(folder).iterdir() if p.is_dir()):
-        for name in METRIC_FILES:
-            if (run / name).is_file():
-                data = json.loads((run / name).read_text(encoding="utf-8"))
-                rows += [(run.name, k, float(v)) for k, v in data.items() if isinstance(v, int | float) and not isinstance(v, bool)]
-                break
+    for run in sorted(paths.listing(folder)):  # one row a run and metric: runs are few
+        held = set(paths.listing(f"{folder}/{run}")) if paths.is_folder(f"{folder}/{run}") else set()
+        if name := next((n for n in METRIC_FILES if n in held), None):
+            data = sinks.load_json(f"{folder}/{run}/{name}")
+            rows += [(run, k, float(v)) for k, v in data.items() if isinstance(v, int | float) and not isinstance(v, bool)]
     return spark.createDataFrame(rows, "run string, name string, value double")
 
 

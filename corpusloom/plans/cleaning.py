@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.config import CleaningConfig
+from corpusloom.functions import text as T
 from corpusloom.operators import dedup, neardup, quality, splits, stats
 from corpusloom.session import checkpoint, ship
 from corpusloom.sources import pairs as sources
-from corpusloom.sources import sinks
+from corpusloom.sources import paths, sinks
 
 
 def clean(pairs: DataFrame, config: CleaningConfig) -> dict[str, DataFrame]:
@@ -96,6 +97,33 @@ def run(spark: SparkSession, source: str, output: str, config: CleaningConfig) -
 
 
 def split_flat(pairs: DataFrame, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """A flat table bucketed into splits by the key of its normalized article."""
-    keyed = quality.with_keys(pairs)
-    return pairs.join(keyed.select("row_ord", splits.assign_split(F.col("article_key"), train, validation).alias("split")), "row_ord")
+    """A flat table with the split of each row, by the bucket of the key of its normalized article."""
+    key = T.canonical_key(T.normalize_text(F.col("article")))
+    return pairs.withColumn("split", splits.assign_split(key, train, validation))
+
+
+def run_two(spark: SparkSession, source: str, output: str, variant: str, config: CleaningConfig, unused: tuple[str, ...] = ()) -> dict[str, Any]:
+    """Clean the Parquet splits of a flat folder and one of its CSV files, split by hash, into parquet/ and medical/.
+
+    The other CSV files are alternate forms of the same texts and are listed as skipped, but for the unused ones.
+    """
+    ship(spark)
+    sinks.check_output(output, [source])
+    files = {f.rpartition("/")[2]: f for f in paths.glob(source, "*.csv")}
+    if variant not in files:
+        raise FileNotFoundError(f"{source} has no {variant}")
+    flat = split_flat(sources.read_files(spark, [files[variant]]), config.train_ratio, config.validation_ratio)
+    tables = {"parquet": sources.read_flat_layout(spark, source), "medical": flat}
+    reports = {}
+    with sinks.Staged(output) as folder:
+        for name, rows in tables.items():
+            stages = clean(rows, config)
+            reports[name] = report(stages, config) | {"staged_rows": rows.groupBy("split").count().toPandas().set_index("split")["count"].to_dict()}
+            if not config.audit_only:
+                sinks.write_splits(stages["resolved"], f"{folder}/{name}", "parquet" if name == "parquet" else "csv")
+        manifest = {
+            "layout": "original", "input_dir": source, "output_dir": output, "medical_variant": variant,
+            "not_used": [n for n in unused if n in files], "skipped_transformed_variants": sorted(set(files) - {variant, *unused}), "datasets": reports,
+        }
+        sinks.save_json(manifest, f"{folder}/cleaning_manifest.json")
+    return manifest

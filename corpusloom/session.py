@@ -38,7 +38,7 @@ def session(app: str = "corpusloom", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.ansi.enabled": "true"}
+    defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.ansi.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return ship(builder.getOrCreate())

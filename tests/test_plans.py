@@ -170,6 +170,48 @@ def test_exit_codes(spark, tmp_path):
     assert cli.main(["leaderboard", str(tmp_path / "runs")]) == 0
 
 
+def test_predict_and_evaluate(spark, tmp_path, capsys):
+    assert cli.main(["predict", "--text", LONG, "--model", "lead:3", "--prefix", ""]) == 0
+    assert capsys.readouterr().out.strip() == " ".join(LONG.split()[:3])
+    assert cli.main(["predict", "--text", "  "]) == 2 and cli.main(["predict", "--text", LONG, "--model", "none"]) == 2
+    write_csv(tmp_path / "t.csv", [(LONG, "Người bệnh nhập viện"), (LONG, "Người bệnh")])
+    assert cli.main(["evaluate", str(tmp_path / "t.csv"), str(tmp_path / "runs/a"), "--split", "test", "--model", "lead:4"]) == 0
+    metrics = sinks.load_json(str(tmp_path / "runs/a/test_metrics.json"))
+    assert metrics["test_gen_len"] == len(" ".join(LONG.split()[:4]).encode()) + 1
+    assert sinks.read_jsonl(spark, str(tmp_path / "runs/a/predictions.jsonl"), "index bigint, prediction string").count() == 2
+    found = evaluation.compare_models({"test_rouge1": 10.0}, metrics, str(tmp_path / "runs"))
+    assert found["tuned_minus_base"]["rouge1"] == round(metrics["test_rouge1"] - 10, 2)
+    assert (tmp_path / "runs/model_comparison.csv").read_text().splitlines()[0].startswith("model,rouge1")
+
+
+def test_two_data_sets(spark, tmp_path):
+    texts = [LONG.replace("mười ngày", f"{k} tuần và {k + 3} ngày ở khoa số {k}") for k in range(40)]
+    frame = spark.createDataFrame([(t, "một hai ba") for t in texts], "article string, summary string")
+    for k, name in enumerate(("train", "valid", "test")):
+        frame.filter(F.pmod(F.hash("article"), F.lit(3)) == k).coalesce(1).write.parquet(str(tmp_path / f"x{k}"))
+        part = next((tmp_path / f"x{k}").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / f"in/{name}.parquet")
+    for name in ("a.csv", "b.csv", "sum.csv"):
+        write_csv(tmp_path / "in" / name, [(t + " b", "một hai ba") for t in texts])
+    config = configuration.build({"cleaning": {"near_duplicate_threshold": 0}}).cleaning
+    made = cleaning.run_two(spark, str(tmp_path / "in"), str(tmp_path / "out"), "a.csv", config, ("sum.csv",))
+    assert made["skipped_transformed_variants"] == ["b.csv"] and made["not_used"] == ["sum.csv"]
+    assert sum(made["datasets"]["medical"]["staged_rows"].values()) == 40 and (tmp_path / "out/medical/train/cleaned.csv").exists()
+    assert sinks.load_json(str(tmp_path / "out/cleaning_manifest.json"))["medical_variant"] == "a.csv"
+
+
+def test_capped_tokens_and_numbers(spark):
+    rows = spark.createDataFrame([("train", k, " a  b ", "c") for k in range(3)] + [("test", 9, "x", "y" * 9)], "split string, row_ord bigint, article string, summary string")
+    config = configuration.build({"data": {"max_train_samples": 2, "max_source_length": 12, "max_target_length": 4}}).data
+    out = {r["row_ord"]: r for r in inference.tokenize_splits(rows, config).collect()}
+    assert set(out) == {0, 1, 9} and len(out[0]["input_ids"]) == 12 and len(out[9]["labels"]) == 4 and bytes(x - 3 for x in out[0]["input_ids"]) == b"summarize: a"
+    from corpusloom.functions import text as T
+
+    shown = spark.createDataFrame([(1234567.0,), (1234.5,), (0.0,)], "n double").select(T.format_number(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in shown] == ["1,234,567", "1,234.50", "0"]
+
+
 def test_stream(spark, data, tmp_path):
     stream = landing.unique_stream(landing.decided_stream(landing.read_landing(spark, f"{data}/train.parquet*")))
     query = (
