@@ -90,7 +90,9 @@ def near_duplicate_examples(keyed: DataFrame, threshold: float = 0.8, priority:
         edges.join(kept, "first_a").join(gone, "first_b").groupBy("first_b")
         .agg(F.min_by(F.struct("first_a", "likeness"), F.struct(-F.col("likeness"), F.col("first_a"))).alias("best"))
     )
+    split = lambda rank: F.element_at(F.array(*map(F.lit, priority)), (rank + 1).cast("int"))
     return best.orderBy("first_b").limit(most).select(
-        F.col("first_b.row_ord").alias("dropped_row"), F.col("best.first_a.row_ord").alias("kept_row"),
+        split(F.col("first_b.rank")).alias("dropped_split"), F.col("first_b.row_ord").alias("dropped_row"),
+        split(F.col("best.first_a.rank")).alias("kept_split"), F.col("best.first_a.row_ord").alias("kept_row"),
         F.round("best.likeness", 6).alias("word_5gram_jaccard"),
     )

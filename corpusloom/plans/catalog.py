@@ -158,7 +158,7 @@ def near_dup_survivors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_examples(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.near_duplicate_examples(_kept(spark, folder), 0.8)
+    return neardup.near_duplicate_examples(_kept(spark, folder), 0.8)  # the feature is the first 20 of them
 
 
 def _demo(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import splits, stats
-from corpusloom.session import ship
-from corpusloom.sources import files
+from corpusloom.session import session, ship
+from corpusloom.sources import files, paths
 from corpusloom.sources import pairs as sources
 
 
+def _is_dataset(folder: str) -> bool:
+    """Whether a folder holds all three files, each with both columns in its header."""
+    files = [f"{folder}/{s}.csv" for s in sources.SPLITS]
+    if not all(map(paths.exists, files)):
+        return False
+    spark = SparkSession.getActiveSession() or session()
+    return all({"article", "summary"} <= set(spark.read.option("header", "true").csv(f).columns) for f in files)
+
+
 def find_dataset(candidates: list[str]) -> str:
-    """The one folder that holds all three files."""
-    found = [c for c in candidates if all((Path(c) / f"{s}.csv").is_file() for s in sources.SPLITS)]
+    """The one folder that holds the data set."""
+    found = [c for c in candidates if _is_dataset(c)]
     if len(found) != 1:
         raise FileNotFoundError(f"one dataset folder expected, found {found}")
     return found[0]

@@ -309,7 +309,8 @@ def statements() -> dict[str, str]:
         "near_dup_examples": (
             f"{_WALK}, best AS (SELECT fb, arg_min(fa, (-likeness, fa)) AS fa, max(likeness) AS likeness FROM edges "
             "JOIN state x ON x.first = fa AND NOT x.dropped JOIN state y ON y.first = fb AND y.dropped GROUP BY fb ORDER BY fb LIMIT 20) "
-            "SELECT fb % 1000000000 AS dropped_row, fa % 1000000000 AS kept_row, round(likeness, 6) AS word_5gram_jaccard FROM best"
+            "SELECT ['test', 'validation', 'train'][fb // 1000000000 + 1] AS dropped_split, fb % 1000000000 AS dropped_row, "
+            "['test', 'validation', 'train'][fa // 1000000000 + 1] AS kept_split, fa % 1000000000 AS kept_row, round(likeness, 6) AS word_5gram_jaccard FROM best"
         ),
         "lexicon_hits": f"{_evidence()} SELECT category, term, count(*) AS rows FROM ({hits}) GROUP BY category, term",
         "evidence_scores": f"{_classified()} SELECT row_ord, score, article_support_score FROM classified",
