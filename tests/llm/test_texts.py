@@ -300,7 +300,7 @@ def test_refusals_are_found_by_their_clusters(spark, data, monkeypatch):
     found = {r["pair_id"]: r["defect"] for r in defects.defective_pairs(frame).filter("pair_id >= 900000").collect()}
     assert sum(found.get(900000 + k) == "refusal" for k in range(40)) >= 25
     assert not [k for k in found if k >= 910000]
-    none = lambda openings: openings.select("opening_hash", F.lit(0).cast("long").alias("cluster")).limit(0)
+    none = lambda openings, least: openings.select("opening_hash", F.lit(0).cast("long").alias("cluster")).limit(0)
     monkeypatch.setattr(defects, "opening_clusters", none)
     monkeypatch.setattr(defects, "TEMPLATE", 41)  # nor by openings that are equal
     without = {r["pair_id"] for r in defects.defective_pairs(frame).filter("defect = 'refusal'").collect()}
