@@ -93,14 +93,19 @@ def ladder() -> list[tuple[Column, bool, str]]:
     ]
 
 
-def classify(pairs: DataFrame, lexicon: DataFrame, biology: tuple[str, ...] = BIOLOGY_ANATOMY) -> DataFrame:
-    """Adds keep, reason, score, summary_evidence and article_support_score."""
+def classify(
+    pairs: DataFrame, lexicon: DataFrame, biology: tuple[str, ...] = BIOLOGY_ANATOMY, rules: list[tuple[Column, bool, str]] | None = None
+) -> DataFrame:
+    """Adds keep, reason, score, summary_evidence and article_support_score.
+
+    rules: (condition, keep, reason) in order, over the evidence columns s_*, a_* and the predicates; the ladder if left out.
+    """
     terms = load_lexicon(lexicon)
     rows = pairs.withColumn("_sm", T.matching_text(F.col("summary"))).withColumn("_am", T.matching_text(F.col("article")))
     rows = collect_evidence(rows, "_sm", terms, "s_")
     rows = predicates(collect_evidence(rows, "_am", terms, "a_", ("human", *_scored())), biology)
     keep, reason = F.lit(False), F.lit("insufficient_biomedical_evidence")
-    for condition, kept, name in reversed(ladder()):
+    for condition, kept, name in reversed(ladder() if rules is None else rules):
         keep, reason = F.when(condition, kept).otherwise(keep), F.when(condition, name).otherwise(reason)
     decided = rows.withColumn("keep", keep).withColumn("reason", reason).withColumn("summary_evidence", serialize_evidence("s_"))
     return decided.select(*pairs.columns, "keep", "reason", "score", "summary_evidence", "article_support_score")

@@ -153,6 +153,15 @@ def test_rules_in_order(spark):
     assert [got[k] for k in range(len(LADDER))] == [r for _, r in LADDER]
 
 
+def test_rules_of_ones_own(spark):
+    frame = pairs(spark, [("train", 1, "", "zzveterinary"), ("train", 2, "", "zzplant")])
+    words = spark.createDataFrame([(c, t) for c, ts in TERMS.items() for t in ts], "category string, term string")
+    own = [(F.size("s_veterinary") > 0, True, "animals")]
+    assert {r["row_ord"]: (r["keep"], r["reason"]) for r in classify.classify(frame, words, rules=own).collect()} == {
+        1: (True, "animals"), 2: (False, "insufficient_biomedical_evidence")
+    }
+
+
 def test_score_and_evidence(spark):
     row = classified(spark, "Sốt cao, viêm phổi; VIÊM-PHỔI?", "insulin và kháng sinh, xạ trị", None)
     assert row["summary_evidence"] == "disease=viêm phổi;anatomy=phổi;symptom=sốt cao"
