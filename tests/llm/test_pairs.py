@@ -234,3 +234,24 @@ def test_queries_against_sql(spark, data, name):
     frame = queries.queries()[name](spark, data)
     assert sorted(frame.columns) == sorted(columns)
     assert sorted(map(tuple, frame.select(*columns).collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_a_part_is_shipped_once_however_many_slots_there_are(spark, cross):
+    texts = variants(11, 160, 120)
+    frame = spark.createDataFrame([(k, k % 2 + 16 * (k % 3 == 0) if cross else 0, t) for k, t in enumerate(texts)], "id long, kind int, text string").repartition(9)
+    pairs, members = vertical.similar_texts(frame, 0.5, cross=cross, slots=5, cell=300)
+    sets = [runs(t or "") for t in texts]
+    alike = lambda a, b: like(sets[a], sets[b]) >= 0.5 and (not cross or ((a + b) % 2 and (a % 3 == 0) == (b % 3 == 0)))
+    wanted = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(a, b)}
+    found = {tuple(r) for r in neardup.all_pairs(pairs, members).collect()}
+    assert {p for p in found if alike(*p)} == wanted and wanted and (cross or found == wanted)
+    shipped = frame.select("id", "kind", "text").coalesce(1).mapInArrow(
+        vertical._entries(np.array(vertical.fragment_keys(16, 5, 16), np.int32), 5), vertical._ENTRY
+    ).selectExpr("sum(length(idx)) / 2").first()[0]
+    assert shipped == sum(map(len, sets))
+
+
+def test_slots_of_a_fragment_are_in_one_partition():
+    keys = vertical.fragment_keys(16, 7, 40)
+    assert len(set(keys)) == 16 * 7 and [vertical._mur(k) % 40 for k in keys] == [f for f in range(16) for _ in range(7)]
