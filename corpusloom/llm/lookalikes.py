@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.plain import differs, plain_form, skeleton, unlike_prototype
+from corpusloom.llm.plain import differs, plain_form, prototype, unlike_prototype
 from corpusloom.llm.shingles import suspects
 from corpusloom.session import ship
 
@@ -67,24 +67,22 @@ def plain_texts(records: DataFrame, fields: tuple[str, ...] = ("article", "summa
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """128-bit hashes of the skeleton and of the text as it is. Case stays: a text and its capitals do not look the same."""
     import xxhash
 
-    schema = pa.schema([("skeleton_hash", pa.int64()), ("form_hash", pa.int64())])
     for batch in batches:
-        forms, keys = [], []
-        for text in batch.column(0).to_pylist():
-            if text:
-                forms.append(xxhash.xxh3_64_intdigest(text))
-                keys.append(xxhash.xxh3_64_intdigest(skeleton(text)))
-        arrays = [np.array(x, np.uint64).view(np.int64) for x in (keys, forms)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=schema)
+        texts = [t for t in batch.column(0).to_pylist() if t]
+        pairs = [(xxhash.xxh3_128_intdigest(prototype(t)), xxhash.xxh3_128_intdigest(t)) for t in texts]
+        halves = np.array([(h >> 64, h & (1 << 64) - 1) for pair in pairs for h in pair], np.uint64).view(np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(halves[:, k]) for k in range(4)], names=["skeleton_hash", "skeleton_low", "form_hash", "form_low"])
 
 
 def skeleton_groups(records: DataFrame, fields: tuple[str, ...] = ("article", "summary")) -> DataFrame:
     """(skeleton_hash, texts, forms): texts of equal skeleton that are written in more than one way."""
     ship(records.sparkSession)
     one = F.explode(F.array(*(F.col(f"`{c}`").cast("string") for c in fields))).alias("text")
-    hashed = records.select(one).mapInArrow(_skeletons, "skeleton_hash long, form_hash long")
-    by_form = hashed.groupBy("skeleton_hash", "form_hash").agg(F.count("*").alias("n"))
-    groups = by_form.groupBy("skeleton_hash").agg(F.sum("n").alias("texts"), F.count("*").alias("forms"))
-    return groups.filter("forms > 1")
+    names = ["skeleton_hash", "skeleton_low", "form_hash", "form_low"]
+    hashed = records.select(one).mapInArrow(_skeletons, ", ".join(f"{n} long" for n in names))
+    by_form = hashed.groupBy(*names).agg(F.count("*").alias("n"))
+    groups = by_form.groupBy(*names[:2]).agg(F.sum("n").alias("texts"), F.count("*").alias("forms"))
+    return groups.filter("forms > 1").drop("skeleton_low")

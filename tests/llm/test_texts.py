@@ -45,6 +45,14 @@ def test_look_alike_queries(spark):
     assert lookalikes.unlike_fields(frame.limit(0)).count() == 0
 
 
+def test_groups_are_of_texts_that_look_the_same(spark):
+    rows = [(1, "HUYỆN", "huyện"), (2, "HUУỆN", "Huyện"), (3, "", None)]  # the second has a Cyrillic letter
+    frame = spark.createDataFrame(rows, "pair_id long, article string, summary string")
+    assert [(r["texts"], r["forms"]) for r in lookalikes.skeleton_groups(frame).collect()] == [(2, 2)]
+    assert lookalikes.skeleton_groups(frame.filter("pair_id <> 2")).count() == 0
+    assert lookalikes.skeleton_groups(frame.limit(0)).columns == ["skeleton_hash", "texts", "forms"]
+
+
 @pytest.fixture(scope="module")
 def splitter(data):
     return sentences.fit(pd.read_parquet(f"{data}/train.parquet").article)
