@@ -255,3 +255,18 @@ def test_a_part_is_shipped_once_however_many_slots_there_are(spark, cross):
 def test_slots_of_a_fragment_are_in_one_partition():
     keys = vertical.fragment_keys(16, 7, 40)
     assert len(set(keys)) == 16 * 7 and [vertical._mur(k) % 40 for k in keys] == [f for f in range(16) for _ in range(7)]
+
+
+def test_short_texts_have_fewer_parts_and_blocks_tell_of_no_tasks(spark):
+    texts = variants(13, 150, 60)
+    frame = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(texts)], "id long, kind int, text string").coalesce(1)
+    pack = lambda coarse: frame.mapInArrow(vertical._entries(np.array(vertical.even_keys(16, 16), np.int32), 1, coarse), vertical._ENTRY)
+    assert "tasks" not in pack(frozenset()).columns
+    shipped = [pack(c).selectExpr("sum(length(idx)) / 2", "sum(length(marks)) / 16", "count(idx)").first() for c in (frozenset(), frozenset([0]))]
+    assert shipped[0][0] == shipped[1][0] and shipped[1][1] < 0.7 * shipped[0][1] and shipped[1][2] < shipped[0][2]
+    sets = [runs(t or "") for t in texts]
+    assert np.mean([len(t or "") for t in texts]) <= vertical.SHORT_BYTES
+    for slots, cell in ((1, 10**6), (3, 200)):
+        pairs, members = vertical.similar_texts(frame, 0.5, cross=True, slots=slots, cell=cell)
+        found = {tuple(r) for r in neardup.all_pairs(pairs, members).collect() if (r[0] + r[1]) % 2}
+        assert found == {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if (a + b) % 2 and like(sets[a], sets[b]) >= 0.5} and found
