@@ -180,15 +180,16 @@ def shingles(words: Column, size: int = 5) -> Column:
 _WORDS = re.compile(r"\w+")
 
 
-@pandas_udf(ArrayType(LongType()))
-def key_shingles(keys: pd.Series) -> pd.Series:
-    """The same five-word shingles of canonical keys, sorted; a tenth of the time of nested array functions."""
+def shingles_of(key: str | None) -> list[int]:
+    """The five-word shingles of a canonical key, sorted."""
+    w = _WORDS.findall(key or "")
+    return sorted({zlib.crc32("\x1f".join(w[k : k + 5]).encode()) for k in range(len(w) - 4)})
 
-    def one(key: str | None) -> list[int]:
-        w = _WORDS.findall(key or "")
-        return sorted({zlib.crc32("\x1f".join(w[k : k + 5]).encode()) for k in range(len(w) - 4)})
 
-    return keys.map(one)
+@pandas_udf(ArrayType(LongType()))
+def key_shingles(keys: pd.Series) -> pd.Series:
+    """The same of a column; a tenth of the time of nested array functions."""
+    return keys.map(shingles_of)
 
 
 def bottom_k(values: Column, k: int = 32) -> Column:

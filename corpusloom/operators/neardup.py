@@ -1,22 +1,29 @@
 """Near-duplicate articles: candidates that share a bottom-k hash, exact Jaccard, greedy survivors in order.
 
 Everything works on distinct canonical keys: rows of equal key share their fate, because a row is only compared
-with kept rows of other keys. Candidates come from the rarest shingles of each key (a prefix of the df order that
-every pair above the threshold must share), which never loses a pair and avoids the long lists of common shingles;
-the shared bottom-k hash is then required as well, so the result is that of a bottom-k index.
+with kept rows of other keys. Pairs come from the vertical join of the shingles (``vertical.py``), which ships every shingle
+once and loses no pair; the shared bottom-k hash is then required as well, so the result is that of a bottom-k index.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from corpusloom.functions import text as T
 from corpusloom.operators.splits import TEST_FIRST, rank_of
+from corpusloom.operators.vertical import similar_texts
 from corpusloom.session import checkpoint, ship
 
 BOTTOM_K = 32
+_HASH = 16  # bytes of a key's hash
 
 
 def distinct_texts(keyed: DataFrame, priority: tuple[str, ...] = TEST_FIRST) -> DataFrame:
@@ -30,24 +37,59 @@ def with_shingles(texts: DataFrame) -> DataFrame:
     return texts.withColumn("sh", T.key_shingles(F.col("key"))).withColumn("n", F.size("sh"))
 
 
-def similar_keys(texts: DataFrame, threshold: float, k: int = BOTTOM_K) -> DataFrame:
+def key_runs(keys: list[str | None], k: int = BOTTOM_K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs, owner, extra) of canonical keys for the vertical join: shingles with their CRC in the bits that it keeps.
+
+    extra: the hash of the key (``T.key_hash``) and its bottom-k shingles, a text with fewer repeats its first.
+    """
+    sets = [np.array(T.shingles_of(key), np.uint64) for key in keys]
+    crc = np.concatenate([np.zeros(0, np.uint64), *sets])
+    mixed = crc * np.uint64(0x9E3779B97F4A7C15)
+    runs = (mixed >> np.uint64(48) << np.uint64(48)) | (crc << np.uint64(16)) | (mixed >> np.uint64(32) & np.uint64(0xFFFF))
+    extra = np.zeros((len(keys), _HASH + 4 * k), np.uint8)
+    for row, key, own in zip(extra, keys, sets, strict=True):
+        if len(own):
+            least = np.full(k, own[0], np.uint32)
+            least[: len(own)] = own[:k]
+            row[:_HASH] = np.frombuffer(hashlib.md5(key.encode()).digest(), np.uint8)
+            row[_HASH:] = least.view(np.uint8)
+    return runs, np.repeat(np.arange(len(keys)), [len(own) for own in sets]), extra
+
+
+@pandas_udf(BooleanType())
+def _share_least(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two texts have one of their bottom-k shingles in common; both by their extra."""
+    least = lambda x: np.frombuffer(x, np.uint32, offset=_HASH)
+    return pd.Series([bool(np.isin(least(x), least(y)).any()) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def similar_classes(keyed: DataFrame, threshold: float, priority: tuple[str, ...] = TEST_FIRST, k: int = BOTTOM_K) -> tuple[DataFrame, DataFrame]:
+    """(pairs, own): classes of equal shingle sets within a split that are alike, and the distinct keys with shingles.
+
+    pairs: a, b, likeness. own: hash of the key, first, rep (its class). Keys of one class have a likeness of 1 and are not listed.
+    """
+    texts = keyed.select(F.col("row_ord").alias("id"), rank_of(F.col("split"), priority).alias("kind"), F.col("article_key").alias("text"))
+    pairs, members = similar_texts(texts, threshold, runs_of=partial(key_runs, k=k))
+    extra = members.select("doc", "extra")
+    pairs = pairs.filter(F.col("likeness") >= threshold).join(extra.toDF("a", "xa"), "a").join(extra.toDF("b", "xb"), "b")
+    pairs = pairs.filter(_share_least("xa", "xb")).select("a", "b", "likeness")
+    named = members.select(F.substring("extra", 1, _HASH).alias("hash"), F.struct(F.col("kind").alias("rank"), F.col("id").alias("row_ord"), "rep").alias("at"))
+    own = named.groupBy("hash").agg(F.min("at").alias("at"))
+    return pairs, own.select("hash", F.struct("at.rank", "at.row_ord").alias("first"), F.col("at.rep").alias("rep"))
+
+
+def _between(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(first_a, first_b, likeness), a before b, of pairs of classes and rows (rep, first)."""
+    both = pairs.join(firsts.select(F.col("rep").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("rep").alias("b"), F.col("first").alias("y")), "b")
+    return both.select(F.least("x", "y").alias("first_a"), F.greatest("x", "y").alias("first_b"), "likeness")
+
+
+def similar_keys(keyed: DataFrame, threshold: float, priority: tuple[str, ...] = TEST_FIRST, k: int = BOTTOM_K) -> DataFrame:
     """(first_a, first_b, likeness) of distinct keys, a before b, that share a bottom-k hash and reach the threshold."""
-    sets = checkpoint(with_shingles(texts).filter("n > 0").select("first", "sh", "n"))
-    flat = sets.select("first", "n", F.explode("sh").alias("h"))
-    df = flat.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    # unique shingles stand first in the order and match nothing: they only shorten the prefix that is left
-    common = flat.join(df, "h").withColumn(
-        "place", F.row_number().over(Window.partitionBy("first").orderBy("df", "h")) + F.col("n") - F.count("*").over(Window.partitionBy("first"))
-    )
-    prefix = common.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("first", "n", "h")
-    a, b = prefix.toDF("first_a", "na", "h"), prefix.toDF("first_b", "nb", "h")
-    near = (F.col("first_a") < F.col("first_b")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    pairs = a.join(b, "h").filter(near).select("first_a", "first_b").distinct()
-    left = sets.select(F.col("first").alias("first_a"), F.col("sh").alias("sa"))
-    right = sets.select(F.col("first").alias("first_b"), F.col("sh").alias("sb"))
-    scored = pairs.join(left, "first_a").join(right, "first_b").withColumn("likeness", T.jaccard(F.col("sa"), F.col("sb")))
-    indexed = F.arrays_overlap(T.bottom_k(F.col("sa"), k), T.bottom_k(F.col("sb"), k))
-    return scored.filter((F.col("likeness") >= threshold) & indexed).select("first_a", "first_b", "likeness")
+    pairs, own = similar_classes(keyed, threshold, priority, k)
+    left, right = own.select("rep", F.col("first").alias("first_a")), own.select("rep", F.col("first").alias("first_b"))
+    copies = left.join(right, "rep").filter("first_a < first_b").select("first_a", "first_b", F.lit(1.0).alias("likeness"))
+    return _between(pairs, own).unionByName(copies)
 
 
 def greedy_survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,25 +111,37 @@ def greedy_survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return state
 
 
+def _settled(keyed: DataFrame, threshold: float, priority: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, own): those of similar_classes, checkpointed; own also has lead, the first of its class, and whether lead and key are dropped.
+
+    Keys of a class have the same neighbours, so all but the lead are dropped: for the lead, or for what the lead is dropped for.
+    """
+    pairs, own = similar_classes(keyed, threshold, priority)
+    pairs, own = checkpoint(pairs), checkpoint(own)
+    leads = own.groupBy("rep").agg(F.min("first").alias("lead"))
+    state = greedy_survivors(leads, _between(pairs, leads.withColumnRenamed("lead", "first")))
+    own = own.join(leads, "rep").join(state.toDF("lead", "lead_dropped"), "lead", "left").withColumn("lead_dropped", F.coalesce("lead_dropped", F.lit(False)))
+    return pairs, own.withColumn("dropped", F.col("lead_dropped") | (F.col("first") > F.col("lead")))
+
+
 def remove_near_duplicates(keyed: DataFrame, threshold: float = 0.8, priority: tuple[str, ...] = TEST_FIRST) -> DataFrame:
     """The rows that survive; a threshold of 0 keeps all."""
     if threshold <= 0:
         return keyed
-    texts = checkpoint(distinct_texts(keyed, priority))
-    dropped = greedy_survivors(texts, similar_keys(texts, threshold)).filter("dropped").select("first")
-    keys = texts.join(dropped, "first").select(F.col("key").alias("article_key"))
-    return keyed.join(keys, "article_key", "left_anti")
+    dropped = _settled(keyed, threshold, priority)[1].filter("dropped").select(F.col("hash").alias("_hash"))
+    return keyed.withColumn("_hash", T.key_hash(F.col("article_key"))).join(dropped, "_hash", "left_anti").drop("_hash")
 
 
 def near_duplicate_examples(keyed: DataFrame, threshold: float = 0.8, priority: tuple[str, ...] = TEST_FIRST, most: int = 20) -> DataFrame:
     """The first dropped texts in processing order with the kept text they are most like (the earliest on ties)."""
-    texts = checkpoint(distinct_texts(keyed, priority))
-    edges = checkpoint(similar_keys(texts, threshold))
-    state = greedy_survivors(texts, edges)
-    kept = state.filter("not dropped").select(F.col("first").alias("first_a"))
-    gone = state.filter("dropped").select(F.col("first").alias("first_b"))
+    pairs, own = _settled(keyed, threshold, priority)
+    kept = own.filter("not dropped").select(F.col("rep").alias("a"), F.col("first").alias("first_a"))
+    gone = own.filter("dropped").select(F.col("rep").alias("b"), F.col("first").alias("first_b"))
+    either = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
+    edges = either.join(kept, "a").join(gone, "b").filter("first_a < first_b").select("first_a", "first_b", "likeness")
+    copies = own.filter("dropped and not lead_dropped").select(F.col("lead").alias("first_a"), F.col("first").alias("first_b"), F.lit(1.0).alias("likeness"))
     best = (
-        edges.join(kept, "first_a").join(gone, "first_b").groupBy("first_b")
+        edges.unionByName(copies).groupBy("first_b")
         .agg(F.min_by(F.struct("first_a", "likeness"), F.struct(-F.col("likeness"), F.col("first_a"))).alias("best"))
     )
     split = lambda rank: F.element_at(F.array(*map(F.lit, priority)), (rank + 1).cast("int"))

@@ -148,7 +148,7 @@ def bottom_k_signature(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    found = neardup.similar_keys(_texts(spark, folder), 0.8)
+    found = neardup.similar_keys(_keyed(spark, folder), 0.8)
     return found.select(F.col("first_a.row_ord").alias("row_a"), F.col("first_b.row_ord").alias("row_b"), F.round("likeness", 6).alias("likeness"))
 
 

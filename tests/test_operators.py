@@ -1,12 +1,15 @@
 """Quality, deduplication, splits, near-duplicates, classification, scores: small cases and model checks."""
 
+import itertools
 import random
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import classify, dedup, evaluation, inference, lexicon, neardup, quality, rouge, splits, stats
+from corpusloom.functions import text as T
+from corpusloom.operators import classify, dedup, evaluation, inference, lexicon, neardup, quality, rouge, splits, stats, vertical
 
 LONG = "một hai ba bốn năm sáu bảy tám chín mười mười một"
 
@@ -213,3 +216,50 @@ def test_inference(spark):
     assert ids[0]["ids"] == [100, 35, 101, 35] and ids[1]["ids"] == [1]
     saved = frame.select(inference.compression_ratio(F.col("article"), F.lit("a b")).alias("r")).collect()
     assert saved[0]["r"] == 92.3 and saved[1]["r"] is None
+
+
+@pytest.mark.parametrize("slots, cell", [(None, 10**6), (3, 300)])
+def test_near_duplicates_ship_a_shingle_once_and_find_what_comparing_all_finds(spark, monkeypatch, slots, cell):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(120)]
+    base = [[rng.choice(vocabulary) for _ in range(50)] for _ in range(12)]
+    texts = []
+    for _ in range(90):
+        text = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            text[rng.randrange(50)] = rng.choice(vocabulary)
+        texts.append(rng.choice((" ", " ", ", ")).join(text))  # other keys of equal shingles
+    rows = [(rng.choice(splits.TEST_FIRST), (1 << 62) + k * 3, t, "") for k, t in enumerate([*texts, "a b c", *texts[:5]])]
+    keyed = quality.with_keys(pairs(spark, rows))
+    monkeypatch.setattr(neardup, "similar_texts", partial(vertical.similar_texts, slots=slots, cell=cell))
+    firsts = {}
+    for split, at, text, _ in rows:
+        first = splits.TEST_FIRST.index(split), at
+        firsts[text] = min(first, firsts.get(text, first))
+    sets = {first: set(T.shingles_of(text)) for text, first in firsts.items()}
+    order = sorted(sets)
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y]) if sets[x] and sets[y] else 0.0
+    wanted = {(x, y): like(x, y) for x, y in itertools.combinations(order, 2) if like(x, y) >= 0.6}
+    found = {(tuple(r[0]), tuple(r[1])): r[2] for r in neardup.similar_keys(keyed, 0.6).collect()}
+    assert found == wanted and 1.0 in wanted.values()
+    kept, best = [], {}
+    for y in order:
+        near = [x for x in kept if (x, y) in wanted]
+        if near:
+            best[y] = min(near, key=lambda x: (-wanted[x, y], x))
+        else:
+            kept.append(y)
+    assert {r["row_ord"] for r in neardup.remove_near_duplicates(keyed, 0.6).collect()} == {at for _, at, t, _ in rows if firsts[t] in kept}
+    got = [(r["dropped_row"], r["kept_row"]) for r in neardup.near_duplicate_examples(keyed, 0.6).collect()]
+    assert got == [(y[1], best[y][1]) for y in order if y in best][:20]
+    frame = keyed.select("row_ord", F.lit(0).alias("kind"), "article_key")
+    packed = frame.mapInArrow(vertical._entries(np.array(vertical.even_keys(16, 16), np.int32), 1, runs_of=neardup.key_runs), vertical._ENTRY)
+    assert packed.selectExpr("sum(length(idx)) / 2").first()[0] == sum(len(sets[firsts[t]]) for _, _, t, _ in rows)
+
+
+def test_texts_without_a_bottom_k_hash_in_common_are_no_pair(spark):
+    keyed = spark.createDataFrame([("test", 1, " ".join(f"w{k}" for k in range(80)) + " x y"), ("test", 2, " ".join(f"w{k}" for k in range(80)))], "split string, row_ord long, article_key string")
+    a, b = (set(T.shingles_of(r["article_key"])) for r in keyed.collect())
+    for k in (1, 2, 5):
+        shared = set(sorted(a)[:k]) & set(sorted(b)[:k])
+        assert neardup.similar_keys(keyed, 0.8, k=k).count() == bool(shared)
