@@ -69,7 +69,7 @@ def similar_classes(keyed: DataFrame, threshold: float, priority: tuple[str, ...
     pairs: a, b, likeness. own: hash of the key, first, rep (its class). Keys of one class have a likeness of 1 and are not listed.
     """
     texts = keyed.select(F.col("row_ord").alias("id"), rank_of(F.col("split"), priority).alias("kind"), F.col("article_key").alias("text"))
-    pairs, members = similar_texts(texts, threshold, runs_of=partial(key_runs, k=k))
+    pairs, members = similar_texts(texts, threshold, runs_of=partial(key_runs, k=k), once=True)
     extra = members.select("doc", "extra")
     pairs = pairs.filter(F.col("likeness") >= threshold).join(extra.toDF("a", "xa"), "a").join(extra.toDF("b", "xb"), "b")
     pairs = pairs.filter(_share_least("xa", "xb")).select("a", "b", "likeness")
@@ -117,7 +117,8 @@ def _settled(keyed: DataFrame, threshold: float, priority: tuple[str, ...]) -> t
     Keys of a class have the same neighbours, so all but the lead are dropped: for the lead, or for what the lead is dropped for.
     """
     pairs, own = similar_classes(keyed, threshold, priority)
-    pairs, own = checkpoint(pairs), checkpoint(own)
+    both = checkpoint(pairs.unionByName(own, allowMissingColumns=True))  # in one run, so that texts are read once for both
+    pairs, own = both.filter("a is not null").select(*pairs.columns), both.filter("rep is not null").select(*own.columns)
     leads = own.groupBy("rep").agg(F.min("first").alias("lead"))
     state = greedy_survivors(leads, _between(pairs, leads.withColumnRenamed("lead", "first")))
     own = own.join(leads, "rep").join(state.toDF("lead", "lead_dropped"), "lead", "left").withColumn("lead_dropped", F.coalesce("lead_dropped", F.lit(False)))
