@@ -2,14 +2,16 @@
 
 import random
 import unicodedata
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import areas, defects, levels, lookalikes, packing, sentences
-from corpusloom.llm.plain import differs, plain_form, skeleton
+from corpusloom.llm.plain import WORD, differs, plain_form, skeleton
 from corpusloom.llm.shingles import plain_batch
 
 PLAIN = [
@@ -355,6 +357,51 @@ def test_short_sentences_copied_beside_long_ones(data):
     assert judge.judge(article, " ".join(short), article.lower().replace(".", "").split(), " ".join(short).lower().replace(".", "").split())[0] == "copied"
 
 
+def test_few_sentences_are_looked_at_to_tell_copies(data, monkeypatch):
+    rows = pd.read_parquet(f"{data}/train.parquet")
+    judge = defects.Judge(list(rows.article), list(rows.summary))
+    shared = "Bệnh viện mở lại khoa khám sau nhiều ngày"
+    article = " ".join([f"Người dân nói rằng {shared.lower()} sửa chữa tại xã {k} và {k + 1} của huyện này." for k in range(400)])
+    seen, decide = [], sentences.Boundaries.decide
+    monkeypatch.setattr(sentences.Boundaries, "decide", lambda self, features: seen.append(1) or decide(self, features))
+    frame = pa.RecordBatch.from_pydict({"id": [1], "article": [article], "summary": [f"{shared} dài, theo lời của tổ trưởng."]})
+    (out,) = defects._examine(SimpleNamespace(value=judge))(iter([frame]))
+    assert out.column("found").to_pylist() == [None] and len(seen) < 20
+
+
+def test_no_more_sentences_are_held_than_told(data):
+    rows = pd.read_parquet(f"{data}/train.parquet").fillna("")
+    judge = defects.Judge(list(rows.article), list(rows.summary))
+    articles, summaries = defects.plain_batch(list(rows.article)), defects.plain_batch([defects.without_markup(t) for t in rows.summary])
+    for k in range(0, len(articles), 3):  # every third is copied in part, with words of its own between
+        units = judge.splitter.sentences(articles[k], plain=True)
+        summaries[k] = " ".join(u if j % 3 else u[: len(u) * 2 // 3] for j, u in enumerate(units) if (j + k) % 4)
+    articles += ["Một hai ba. Bốn năm sáu! Một hai ba.", "İzmir'de İlk gün. ΟΔΟΣ ΑΣ.", "", "ngày 3.5 và TS. Lê Văn An đến.\x85Một hai ba"]
+    summaries += ["Một hai ba", "i̇zmir'de i̇lk gün οδος ας", "Một hai ba", "3.5 và TS. Lê Văn An đến. Một hai ba"]
+    most = defects.most_held(defects.Layout(articles), defects.Layout(summaries))
+    bound = copied = 0
+    for article, summary, upper in zip(articles, summaries, most, strict=True):
+        own, tokens = defects._near(summary), WORD.findall(article.lower())
+        units = [g for u in judge.splitter.sentences(article, plain=True) if (g := defects._near(u))]
+        held = sum(len(g & own) >= 0.6 * len(g) for g in units)
+        if own and isinstance(next(iter(own)), tuple):
+            assert upper is None or held <= upper
+            bound += upper is not None
+            assert judge.copied(article, own, tokens, upper) == (held >= 0.5 * len(units) > 0)
+        assert judge.copied(article, own, tokens) == (held >= 0.5 * len(units) > 0)
+        copied += held >= 0.5 * len(units) > 0
+    assert bound > 50 and copied > 10
+
+
+def test_frequent_boundaries_have_the_same_features(data, monkeypatch):
+    rows = pd.read_parquet(f"{data}/train.parquet").fillna("")
+    lines = [m[0] for t in (*rows.article, *rows.summary) for m in sentences._LINE.finditer(t)]
+    lines += ["Tên: A. Ông; B. C.", "Gồm: 1. Nhà; 2. Xe 12. Hết 123. ", "TS. An gặp Dr. Bo lúc 5 p.m. nay… Rồi v.v.", "“A. B.” C."]
+    fast = [list(sentences.candidates(line)) for line in lines]
+    monkeypatch.setattr(sentences, "_common", lambda *_: None)
+    assert fast == [list(sentences.candidates(line)) for line in lines]
+
+
 def test_endings_on_held_out_sentences(data):
     rows = pd.read_parquet(f"{data}/train.parquet")
     splitter = sentences.fit(rows.article)
